@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import language, packing, pii, quality, secrets, substring
 
-MODULES = (quality,)
+MODULES = (quality, pii, secrets, substring, language, packing)
 
 
 def queries() -> dict:
