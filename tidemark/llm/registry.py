@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, packing, pii, quality, secrets, substring
+from . import ann, language, mixing, neardup, packing, pii, quality, secrets, substring, urls
 
-MODULES = (quality, pii, secrets, substring, language, packing)
+MODULES = (mixing, ann, quality, pii, neardup, secrets, substring, language, urls, packing)
 
 
 def queries() -> dict:
