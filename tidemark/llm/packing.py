@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import binary
+
 WINDOW = 4096
 GRID = 64
 END_ID = 2
@@ -42,12 +44,12 @@ SCHEMA = (
 
 
 class WordTokens:
-    """Ids (as bytes) of whitespace-separated words.
+    """Ids (as bytes) of a text's words, cut at ASCII white space.
 
     The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its words in order. A word's trailing ASCII punctuation is a
-    token of its own after a letter or digit, so the two parts are looked up
-    apart. Common words are remembered, ``limit`` at most.
+    are those of its words in order. ASCII punctuation after letters and digits
+    is a token of its own, so the two parts are looked up apart. Common words are
+    remembered, ``limit`` at most.
     """
 
     limit = 500_000
@@ -58,38 +60,39 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _encode(self, items: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(items, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _split(self, word: str) -> tuple[str, str]:
-        core = word.rstrip(self.marks)
-        if core and core.isascii() and core[-1].isalnum():
-            return core.lower(), word[len(core) :]
-        return word, ""
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.split()
-        get = self.words.get
-        parts = list(map(get, words))
-        if None in parts:
-            fresh = {w: self._split(w) for w, p in zip(words, parts, strict=True) if p is None}
-            cores = self.cores
-            items = list(dict.fromkeys(x for pair in fresh.values() for x in pair if x and x not in cores))
-            new = dict(zip(items, self._encode(items), strict=True))
-            if len(cores) < self.limit:
-                cores.update(new)
-            made = {
-                w: (new.get(a) or cores.get(a, b"")) + ((new.get(b) or cores.get(b, b"")) if b else b"")
-                for w, (a, b) in fresh.items()
-            }
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _split(self, word: bytes) -> tuple[str, str]:
+        text = word.decode("utf-8", "replace")
+        core = text.rstrip(self.marks)
+        if core.isascii() and core.isalnum():
+            return core.lower(), text[len(core) :]
+        return text, ""
+
+    def encode(self, raw: bytes) -> np.ndarray:
+        words = raw.split()
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            fresh = {w: self._split(w) for w, x in zip(words, ids, strict=True) if x is None}
+            known = self.parts
+            items = [x for x in {y for pair in fresh.values() for y in pair} if x not in known]
+            found = self.model.encode_batch_fast(items, add_special_tokens=False)
+            new = {x: np.array(e.ids, dtype="<u4").tobytes() for x, e in zip(items, found, strict=True)}
+            if len(known) < self.limit:
+                known.update(new)
+            part = lambda x: new[x] if x in new else known[x]
+            made = {w: part(a) + part(b) for w, (a, b) in fresh.items()}
             if len(self.words) < self.limit:
                 self.words.update(made)
-            parts = [made[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+            ids = [made[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        return np.frombuffer(b"".join(ids), dtype="<u4")
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, whatever the number of tasks it runs."""
+    return WordTokens(path)
 
 
 @lru_cache(maxsize=4)
@@ -243,7 +246,7 @@ def _packer(path: str, window: int, grid: int, buffer_tokens: int, id_type: pa.D
         )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         next_id = TaskContext.get().partitionId() << 40
         docs: list = []
         pieces: list[Piece] = []
@@ -251,9 +254,9 @@ def _packer(path: str, window: int, grid: int, buffer_tokens: int, id_type: pa.D
         waiting = 0
         tail = np.array([END_ID], dtype="<u4")
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.concatenate([tokens.encode(text.as_py() or ""), tail])
-                docs.append((doc_id.as_py(), ids))
+            for doc_id, raw in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
+                ids = np.concatenate([tokens.encode(raw or b""), tail])
+                docs.append((doc_id, ids))
                 k = len(docs) - 1
                 whole = len(ids) // window
                 full += [[(k, j * window, window)] for j in range(whole)]
