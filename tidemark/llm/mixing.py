@@ -24,6 +24,8 @@ no rows.
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,25 +223,55 @@ def mix(
     )
 
 
+_WORD = re.compile(WORD)
+
+
+def _first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    end = 0
+    for m in itertools.islice(_WORD.finditer(text), n):
+        end = m.end()
+    return text[:end]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of which only the first words are taken are cut, and counted anew."""
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        partial = np.flatnonzero(np.asarray(columns["words"]) < np.asarray(columns["size"]))
+        if len(partial):
+            texts, counts = columns["text"].to_pylist(), columns["n_chars"].to_pylist()
+            for i in partial.tolist():
+                texts[i] = _first_words(texts[i], columns["words"][i].as_py())
+                counts[i] = len(texts[i])
+            columns |= {"text": pa.array(texts, pa.string()), "n_chars": pa.array(counts, pa.int64())}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row for each draw, in its shard's order, its text cut to the words taken."""
+    """The mix itself: a row for each draw, in its shard's order, its text cut to the words taken.
+
+    Plan and texts meet by doc_id; rows that share one are told apart by their
+    place in the order of size and text (size decides what is drawn).
+    """
     names = ("doc_id", "text", "lang", "source", "n_chars")
-    plan = mix(docs, **options).where(F.size("draws") > 0)
-    draws = plan.select("doc_id", F.col("size").alias("w_size"), F.explode("draws").alias("d"))
-    texts = docs.select(*names)
-    first = F.regexp_extract("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*"), F.lit(WORD), F.lit("){"), F.col("d.words"), F.lit("}")), 0)
-    cut = F.when(F.col("d.words") < F.col("w_size"), first).otherwise(F.col("text"))
-    return (
-        texts.join(draws.hint("shuffle_hash"), "doc_id")
-        .withColumn("new", cut)
-        .select(
-            "doc_id", F.col("new").alias("text"), "lang", "source",
-            F.when(F.col("d.words") < F.col("w_size"), F.length("new")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"),
-            "d.shard", "d.order",
-        )
-        .sortWithinPartitions("shard", "order")
-        .drop("shard", "order")
-    )
+    plan = durable(mix(docs, **options).select("doc_id", "size", "draws"))
+    texts = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    alike = F.lit(0)
+    if not plan.groupBy("doc_id").count().where("count > 1").isEmpty():
+        words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+        plan = plan.withColumn("alike", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", F.to_json("draws"))))
+        alike = F.row_number().over(Window.partitionBy("doc_id").orderBy(words, "text"))
+    else:
+        plan = plan.withColumn("alike", F.lit(0))
+    texts = texts.withColumn("alike", alike)
+    drawn = plan.where(F.size("draws") > 0).select(
+        F.col("doc_id").alias("drawn_id"), F.col("alike").alias("drawn_alike"), "size", F.explode("draws").alias("d")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("drawn_id")) & (F.col("alike") == F.col("drawn_alike"))
+    rows = texts.join(drawn.hint("shuffle_hash"), same).select(*names, "size", "d.words", "d.shard", "d.order")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.sortWithinPartitions("shard", "order").mapInArrow(_cut, schema).select(*names)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
