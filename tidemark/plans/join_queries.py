@@ -42,7 +42,7 @@ def salted_as_of_join(spark, d):
     return J.salted_as_of(left, right, ["story"], "at", "rep", 3 * 86400)
 
 
-@query(f"""WITH {TIMELINE}, x AS (SELECT story, eid, idx // 4 AS slot, idx AS rep FROM tl WHERE event_id % 3 = 0),
+@query(f"""WITH {TIMELINE}, x AS (SELECT story, eid, idx // 4 AS slot, idx AS rep FROM tl WHERE value > 15),
 m AS (SELECT story, eid, slot, max(rep) AS rep FROM x GROUP BY ALL), s AS (SELECT DISTINCT story, eid, idx // 4 AS slot FROM tl),
 e AS (SELECT s.*, m.rep AS exact, (SELECT max_by(y.rep, y.slot) FROM m y WHERE y.story = s.story AND y.eid = s.eid AND y.slot <= s.slot) AS prev
   FROM s LEFT JOIN m ON s.story = m.story AND s.eid = m.eid AND s.slot = m.slot)
@@ -51,17 +51,17 @@ def slot_expansion(spark, d):
     """Every present slot with its own crop, else the latest earlier one, else none."""
     t = timeline(spark, d).withColumn("slot", F.floor(F.col("idx") / 4))
     slots = t.select("story", "eid", "slot").distinct()
-    exact = t.where("event_id % 3 = 0").select("story", "eid", "slot", F.col("idx").alias("rep"))
+    exact = t.where("value > 15").select("story", "eid", "slot", F.col("idx").alias("rep"))
     return J.slot_fill(slots, exact, ["story", "eid"], "slot", "rep")
 
 
-@query(f"""WITH {TIMELINE}, g AS (SELECT story, eid AS item, min(idx) AS at FROM tl WHERE event_id % 11 = 0 GROUP BY ALL),
+@query(f"""WITH {TIMELINE}, g AS (SELECT story, eid AS item, min(idx) AS at FROM tl WHERE value > 60 GROUP BY ALL),
 f AS (SELECT g.story, g.item, g.at, t.event_id FROM g JOIN tl t ON t.story = g.story AND t.idx = g.at)
 SELECT t.story, t.idx AS chunk_id, f.item, f.event_id AS reason FROM tl t JOIN f ON t.story = f.story AND f.at < t.idx""")
 def forbidden_table(spark, d):
     """What earlier events have deprecated at each chunk."""
     t = timeline(spark, d)
-    events = t.where("event_id % 11 = 0").select("story", F.col("eid").alias("item"), F.col("idx").alias("at"), "event_id")
+    events = t.where("value > 60").select("story", F.col("eid").alias("item"), F.col("idx").alias("at"), "event_id")
     return J.deprecated_before(t.select("story", F.col("idx").alias("chunk_id")), events)
 
 
@@ -106,16 +106,16 @@ def negative_controls(spark, d):
 
 
 @query("""WITH i AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer), e AS (
-  SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'replace' ELSE 'keep' END AS action, 'new' AS v FROM customer WHERE c_custkey % 5 = 0
-  UNION ALL SELECT -c_custkey - 1, 'add', 'added' FROM customer WHERE c_custkey % 7 = 0)
+  SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'replace' ELSE 'keep' END AS action, 'new' AS v FROM customer WHERE c_acctbal > 4000
+  UNION ALL SELECT -c_custkey - 1, 'add', 'added' FROM customer WHERE c_acctbal < 0)
 SELECT coalesce(i.k, e.k) AS k, CASE WHEN action IN ('replace', 'add') THEN e.v ELSE i.v END AS v FROM i FULL JOIN e ON i.k = e.k WHERE coalesce(action, 'keep') != 'reject'""")
 def patch_apply(spark, d):
     """Keep, reject, replace and add by key."""
     c = table(spark, d, "customer")
     items = c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
     action = F.when(F.col("c_custkey") % 3 == 0, "reject").when(F.col("c_custkey") % 3 == 1, "replace").otherwise("keep")
-    edits = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k"), action.alias("action"), F.lit("new").alias("v"))
-    added = c.where("c_custkey % 7 = 0").select((-F.col("c_custkey") - 1).alias("k"), F.lit("add").alias("action"), F.lit("added").alias("v"))
+    edits = c.where("c_acctbal > 4000").select(F.col("c_custkey").alias("k"), action.alias("action"), F.lit("new").alias("v"))
+    added = c.where("c_acctbal < 0").select((-F.col("c_custkey") - 1).alias("k"), F.lit("add").alias("action"), F.lit("added").alias("v"))
     return J.keyed_edits(items, edits.unionByName(added), "k", "v")
 
 
@@ -127,25 +127,25 @@ def usable_references(spark, d):
 
 
 @query("""SELECT o_orderkey, coalesce(a.v, b.v, c.v) AS v FROM (SELECT o_orderkey, o_custkey % 50 AS k1, o_custkey % 20 AS k2, o_custkey % 10 AS k3 FROM orders) o
-LEFT JOIN (SELECT s_suppkey AS k1, 'path' AS v FROM supplier WHERE s_suppkey % 2 = 0) a USING (k1)
-LEFT JOIN (SELECT n_nationkey AS k2, n_name AS v FROM nation WHERE n_nationkey % 3 = 0) b USING (k2)
+LEFT JOIN (SELECT s_suppkey AS k1, 'path' AS v FROM supplier WHERE s_acctbal > 1000) a USING (k1)
+LEFT JOIN (SELECT n_nationkey AS k2, n_name AS v FROM nation WHERE n_regionkey < 3) b USING (k2)
 LEFT JOIN (SELECT r_regionkey AS k3, r_name AS v FROM region) c USING (k3)""")
 def decision_propagation(spark, d):
     """A decision taken over from the first of three keys that has one."""
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k1"), (F.col("o_custkey") % 20).alias("k2"), (F.col("o_custkey") % 10).alias("k3"))
-    a = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k1"), F.lit("path").alias("v"))
-    b = table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("k2"), F.col("n_name").alias("v"))
+    a = table(spark, d, "supplier").where("s_acctbal > 1000").select(F.col("s_suppkey").alias("k1"), F.lit("path").alias("v"))
+    b = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("k2"), F.col("n_name").alias("v"))
     c = table(spark, d, "region").select(F.col("r_regionkey").alias("k3"), F.col("r_name").alias("v"))
     return J.prioritised(o, [(a, "k1"), (b, "k2"), (c, "k3")], "v").select("o_orderkey", "v")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 != 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 != 0)
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderstatus != 'P'), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS v FROM orders WHERE o_totalprice > 100000)
 SELECT count(*) AS n, round(avg(CASE WHEN a.v IS NOT DISTINCT FROM b.v THEN 1.0 ELSE 0.0 END), 4) AS agreement FROM a JOIN b USING (k)""")
 def retest_agreement(spark, d):
     """Agreement of two passes over the units both have."""
     o = table(spark, d, "orders")
-    a = o.where("o_orderkey % 3 != 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    b = o.where("o_orderkey % 4 != 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderstatus")).alias("v"))
+    a = o.where("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    b = o.where("o_totalprice > 100000").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderstatus")).alias("v"))
     return J.agreement(a, b, "k", "v")
 
 

@@ -211,10 +211,9 @@ def box_conflicts(spark, d):
     return pairs.select("chunk", "left", "right", iou(F.col("box"), F.col("r_box")).alias("raw")).where("raw >= 0.2").select("chunk", "left", "right", F.round("raw", 6).alias("iou"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, 1000000 + o_orderkey % 3000 AS v FROM orders WHERE o_orderkey % 20 = 0),
-b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, reach) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.reach = b.u)
-SELECT node, min(reach) AS component FROM r GROUP BY node""")
+@query()
 def merge_components(spark, d):
-    """Components of a graph of merges."""
-    o = table(spark, d, "orders").where("o_orderkey % 20 = 0")
-    return V.label_components(o.select(F.col("o_custkey").alias("u"), (F.col("o_orderkey") % 3000 + 1000000).alias("v")).distinct())
+    """Components of the graph of customers and the parts they order."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    edges = o.join(li.where("l_discount > 0.09"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return V.label_components(edges.select(F.col("o_custkey").alias("u"), (F.col("l_partkey") + 1_000_000_000).alias("v")).distinct())

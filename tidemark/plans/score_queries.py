@@ -66,7 +66,7 @@ def wilson_intervals(spark, d):
     return t.select("eid", low.alias("low"), high.alias("high"))
 
 
-COVER = """e AS (SELECT o_orderkey AS segment, [o_orderpriority, o_orderstatus] AS entities FROM orders WHERE o_orderkey % 3 = 0),
+COVER = """e AS (SELECT o_orderkey AS segment, [o_orderpriority, o_orderstatus] AS entities FROM orders),
 r AS (SELECT l_orderkey AS segment, l_linenumber AS ref, CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_returnflag = 'A' THEN 'F' WHEN l_returnflag = 'R' THEN '5-LOW' ELSE 'O' END AS entity FROM lineitem),
 p AS (SELECT segment, ref, count(entity) AS n_entities FROM r GROUP BY segment, ref),
 h AS (SELECT segment, count(*) AS n_refs, count(*) FILTER (n_entities > 0) AS n_useful FROM p GROUP BY segment),
@@ -78,7 +78,7 @@ j AS (SELECT e.segment, coalesce(n_refs, 0) AS n_refs, CASE WHEN n_refs > 0 THEN
 
 def cover_inputs(spark, d):
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    expected = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("segment"), F.array("o_orderpriority", "o_orderstatus").alias("entities"))
+    expected = o.select(F.col("o_orderkey").alias("segment"), F.array("o_orderpriority", "o_orderstatus").alias("entities"))
     entity = F.when(F.col("l_linenumber") % 4 == 0, None).when(F.col("l_returnflag") == "A", "F").when(F.col("l_returnflag") == "R", "5-LOW").otherwise("O")
     refs = li.select(F.col("l_orderkey").alias("segment"), F.col("l_linenumber").alias("ref"), entity.alias("entity"))
     return refs, expected

@@ -55,13 +55,13 @@ def memory_operations(spark, d):
     return rows.select("story", "idx", "eid", "gap", "state", "carried", "op")
 
 
-@query(f"""WITH {TIMELINE}, rm AS (SELECT story, eid, idx AS at FROM tl WHERE event_id % 5 = 0)
+@query(f"""WITH {TIMELINE}, rm AS (SELECT story, eid, idx AS at FROM tl WHERE value > 30)
 SELECT t.story, t.idx, r.eid, max(r.at) AS removed_at, t.idx - max(r.at) AS since FROM tl t JOIN rm r
   ON t.story = r.story AND t.idx > r.at AND t.idx <= r.at + 4 GROUP BY t.story, t.idx, r.eid""")
 def forbidden_window(spark, d):
     """Entities to be avoided in the segments after their removal."""
     t = timeline(spark, d)
-    removals = t.where("event_id % 5 = 0").select("story", "eid", F.col("idx").alias("at"))
+    removals = t.where("value > 30").select("story", "eid", F.col("idx").alias("at"))
     return T.forbidden_after(removals, t.select("story", "idx"))
 
 
@@ -129,11 +129,11 @@ def observe_clock(spark, d):
     return T.running_clock(t, "dur")
 
 
-@query(f"""WITH {TIMELINE}, b AS (SELECT story, min(idx) AS first_bad FROM tl WHERE event_id % 23 = 0 GROUP BY story)
+@query(f"""WITH {TIMELINE}, b AS (SELECT story, min(idx) AS first_bad FROM tl WHERE value > 90 GROUP BY story)
 SELECT t.story, t.idx, t.event_id FROM tl t LEFT JOIN b USING (story) WHERE first_bad IS NULL OR t.idx < first_bad""")
 def closed_prefix(spark, d):
     """Segments before a story's first failed one."""
-    t = timeline(spark, d).withColumn("ok", F.col("event_id") % 23 != 0)
+    t = timeline(spark, d).withColumn("ok", F.col("value") <= 90)
     return T.closed_prefix(t, "ok").select("story", "idx", "event_id")
 
 
