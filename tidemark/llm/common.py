@@ -29,7 +29,11 @@ def durable(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
         )
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    del df
+    # The shuffles behind it are of no more use; Spark drops their files once they are garbage.
+    context._jvm.System.gc()
+    return kept
 
 
 def shuffle_parts(spark: SparkSession) -> int:

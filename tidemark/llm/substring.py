@@ -14,8 +14,9 @@ its first occurrence (``window >= 2 * block - 1``).
    words go.
 
 The bucket filter may err on the safe side (short hashes), the second step is
-exact. A bucket holds about ``bucket_size`` probes; a document's words are never
-paired with another's.
+exact. A bucket holds about ``bucket_size`` probes. What the documents of one task
+share is told there, so a passage held by a third of all documents sends one entry
+a task; no document is paired with another.
 
 Edge cases: a null or empty text has no words; texts shorter than a window lose
 none; of copies, the one of smallest doc_id stays whole; rows that share a doc_id
@@ -45,109 +46,206 @@ BUCKET = 3_000_000
 BATCH = 1_000_000
 
 
-def _probes(block: int, buckets: int):
-    def deal(ids: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
-        """Rows (bucket, document ids, probes of each, low hash bits, anchor flags)."""
-        counts = np.array([len(h) for h in hashes])
-        h = np.concatenate(hashes)
-        doc = np.repeat(np.arange(len(ids)), counts)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")  # by document within a bucket
-        bucket, doc = bucket[order], doc[order]
-        low = h[order].astype(np.uint32)
-        anchor = place[order] % block == 0
-        names = np.array(ids, dtype=np.int64)
-        edges = np.flatnonzero(np.diff(bucket)) + 1
-        out: list[list] = [[] for _ in range(5)]
-        for a, b in zip([0, *edges], [*edges, len(bucket)], strict=True):
-            d, n = np.unique(doc[a:b], return_counts=True)
-            for column, value in zip(
-                out,
-                (int(bucket[a]), names[d].tobytes(), n.astype(np.uint32).tobytes(), low[a:b].tobytes(), np.packbits(anchor[a:b]).tobytes()),
-                strict=True,
-            ):
-                column.append(value)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])],
-            names=["bucket", "ids", "counts", "low", "anchors"],
-        )
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """First place of each run of equal values."""
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
+
+
+def _grouped(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hash, number of its run for each place in that order, least and greatest doc_id of each run)."""
+    order = np.argsort(h, kind="stable")
+    starts = _runs(h[order])
+    ids = doc[order]
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+    return order, run, np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
+
+
+def _by_document(doc: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Runs of a document (its id, its number of values) and the values."""
+    starts = _runs(doc)
+    counts = np.diff(np.append(starts, len(doc)))
+    return doc[starts].tobytes(), counts.astype(np.uint32).tobytes(), values.tobytes()
+
+
+PARTS = ["bucket", "ids", "counts", "values", "more"]
+PARTS_SCHEMA = "bucket int, ids binary, counts binary, values binary, more binary"
+
+
+def _told(doc: np.ndarray, values: np.ndarray, buckets: int) -> tuple:
+    """A row that needs no answer; it travels with the others, to a bucket beside theirs."""
+    return buckets + int(doc[0]) % buckets, *_by_document(doc, values), None
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=PARTS
+    )
 
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _per_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places) with the places of a bucket in their order."""
+    if not len(h):
+        return
+    bucket = _bucket(h, buckets)
+    order = np.argsort(bucket, kind="stable")
+    starts = _runs(bucket[order])
+    for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _deal_probes(doc: np.ndarray, place: np.ndarray, h: np.ndarray, block: int, buckets: int) -> pa.RecordBatch:
+    """One probe of each hash for its bucket; what two documents of the task share is told at once.
+
+    So a hash that very many documents hold sends one probe a task.
+    """
+    order, run, least, greatest = _grouped(h, doc)
+    anchors = np.zeros(len(least), dtype=bool)
+    anchors[run[place[order] % block == 0]] = True
+    shared = np.zeros(len(h), dtype=bool)
+    shared[order] = (least != greatest)[run]
+    rows = []
+    if shared.any():
+        rows.append(_told(doc[shared], h[shared].astype(np.uint32), buckets))
+    first = order[np.concatenate([[True], run[1:] != run[:-1]])]
+    flags = np.zeros(len(h), dtype=bool)
+    flags[first] = anchors
+    first.sort()
+    for bucket, at in _per_bucket(h[first], buckets):
+        at = first[at]
+        rows.append((bucket, *_by_document(doc[at], h[at].astype(np.uint32)), np.packbits(flags[at]).tobytes()))
+    return _rows(rows)
+
+
+def _probes(block: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
         ids, hashes, waiting = [], [], 0
+
+        def deal() -> pa.RecordBatch:
+            doc = np.repeat(np.array(ids, dtype=np.int64), [len(h) for h in hashes])
+            place = np.concatenate([np.arange(len(h)) for h in hashes])
+            return _deal_probes(doc, place, np.concatenate(hashes), block, buckets)
+
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
                 words = raw.split() if raw else []
-                if doc is None or len(words) < WINDOW:
+                if len(words) < WINDOW:
                     continue
                 ids.append(doc)
                 hashes.append(window_hashes(word_hashes(words, table), block))
                 waiting += len(hashes[-1])
                 if waiting >= BATCH:
-                    yield deal(ids, hashes)
+                    yield deal()
                     ids, hashes, waiting = [], [], 0
         if ids:
-            yield deal(ids, hashes)
+            yield deal()
 
     return run
 
 
-def _answers(rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents of a bucket with the hashes that are an anchor and stand in two documents."""
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]])
-    low = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["low"]])
+def _joined(rows: pd.DataFrame, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
+
+
+def _documents(rows: pd.DataFrame) -> np.ndarray:
+    return np.repeat(_joined(rows, "ids", np.int64), _joined(rows, "counts", np.uint32))
+
+
+def _answer(doc: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+    if not len(doc):
+        return pd.DataFrame({"doc_id": np.empty(0, np.int64), "found": []})
+    starts = _runs(doc)
+    return pd.DataFrame({"doc_id": doc[starts], "found": [x.tobytes() for x in np.split(values, starts[1:])]})
+
+
+def _answer_probes(rows: pd.DataFrame) -> pd.DataFrame:
+    """Documents of a bucket with the hashes that are an anchor and are met in another document."""
+    doc, low = _documents(rows), _joined(rows, "values", np.uint32)
     flags = np.concatenate(
-        [np.unpackbits(np.frombuffer(a, np.uint8), count=len(x) // 4).astype(bool) for a, x in zip(rows["anchors"], rows["low"], strict=True)]
+        [np.unpackbits(np.frombuffer(a, np.uint8), count=len(x) // 4) for a, x in zip(rows["more"], rows["values"], strict=True)]
     )
-    order = np.argsort(low, kind="stable")
-    by_hash = low[order]
-    starts = np.flatnonzero(np.concatenate([[True], by_hash[1:] != by_hash[:-1]]))
-    doc = np.repeat(ids, counts)
-    sorted_doc = doc[order]
-    several = np.minimum.reduceat(sorted_doc, starts) != np.maximum.reduceat(sorted_doc, starts)
-    anchored = np.maximum.reduceat(flags[order], starts)
-    shared = np.repeat(several & anchored, np.diff(np.append(starts, len(by_hash))))
+    order, run, least, greatest = _grouped(low, doc)
+    anchors = np.zeros(len(least), dtype=bool)
+    anchors[run[flags[order] > 0]] = True
     hit = np.zeros(len(low), dtype=bool)
-    hit[order[shared]] = True
-    if not hit.any():
-        return pd.DataFrame({"doc_id": np.empty(0, np.int64), "hits": []})
-    # Documents stand in runs, so their hits do as well.
-    doc, low = doc[hit], low[hit]
-    edges = np.flatnonzero(np.diff(doc)) + 1
-    pieces = np.split(low, edges)
-    return pd.DataFrame({"doc_id": doc[np.append(0, edges)], "hits": [np.unique(p).tobytes() for p in pieces]})
+    hit[order] = ((least != greatest) & anchors)[run]
+    return _answer(doc[hit], low[hit])
 
 
-def _candidates(window: int, block: int):
+def _deal_windows(doc: np.ndarray, place: np.ndarray, full: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Windows of each hash's first document in the task for its bucket; later documents lose theirs at once."""
+    order, run, least, _ = _grouped(full, doc)
+    late = np.zeros(len(full), dtype=bool)
+    late[order] = doc[order] > least[run]
+    rows = []
+    if late.any():
+        rows.append(_told(doc[late], place[late], buckets))
+    early = np.flatnonzero(~late)
+    for bucket, at in _per_bucket(full[early], buckets):
+        at = early[at]
+        rows.append((bucket, *_by_document(doc[at], place[at]), full[at].tobytes()))
+    return _rows(rows)
+
+
+def _candidates(window: int, block: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Places and full hashes of the windows that hold a hit."""
         table = WordHash()
+        found: list[tuple] = []
+        waiting = 0
         for batch in batches:
-            ids, found = [], []
             for doc, raw, hits in zip(batch.column(0).to_pylist(), binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 h = word_hashes(raw.split(), table)
                 wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in hits]))
                 low = window_hashes(h, block).astype(np.uint32)
-                hit = np.isin(low, wanted)
-                near = np.concatenate([[0], np.cumsum(hit)])
+                near = np.concatenate([[0], np.cumsum(np.isin(low, wanted))])
                 n = len(h) - window + 1
                 span = window - block + 1  # blocks in a window
-                place = np.flatnonzero(near[span : span + n] > near[:n])
+                place = np.flatnonzero(near[span : span + n] > near[:n]) if n > 0 else np.empty(0, np.int64)
                 if len(place):
-                    full = window_hashes(h, window, seed=1)[place]
-                    ids.append(np.full(len(place), doc, dtype=np.int64))
-                    found.append((place.astype(np.int32), full.view(np.int64)))
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate([p for p, _ in found])), pa.array(np.concatenate([f for _, f in found]))],
-                    names=["doc_id", "place", "full"],
-                )
+                    found.append((np.full(len(place), doc, dtype=np.int64), place.astype(np.int32), window_hashes(h, window, seed=1)[place]))
+                    waiting += len(place)
+                if waiting >= BATCH:
+                    yield _deal_windows(*map(np.concatenate, zip(*found, strict=True)), buckets)
+                    found, waiting = [], 0
+        if found:
+            yield _deal_windows(*map(np.concatenate, zip(*found, strict=True)), buckets)
+
+    return run
+
+
+def _answer_windows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Places of the windows of a bucket that also start in a document of smaller doc_id."""
+    doc, place, full = _documents(rows), _joined(rows, "values", np.int32), _joined(rows, "more", np.uint64)
+    order, run, least, _ = _grouped(full, doc)
+    late = np.zeros(len(full), dtype=bool)
+    late[order] = doc[order] > least[run]
+    return _answer(doc[late], place[late])
+
+
+def _answers(answer, kind: type):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        told = rows["more"].isna()
+        parts = [answer(rows[~told])] if not told.all() else []
+        parts += [_answer(_documents(rows[told]), _joined(rows[told], "values", kind))] if told.any() else []
+        return pd.concat(parts)
 
     return run
 
 
+def _exchange(parts: DataFrame, buckets: int, answer, kind: type) -> DataFrame:
+    """doc_id, found: what the tasks told and what the buckets answer, gathered for each document."""
+    answers = parts.repartition(2 * buckets, "bucket").groupBy("bucket").applyInPandas(
+        _answers(answer, kind), "doc_id long, found binary"
+    )
+    return answers.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +273,7 @@ def _cut(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bucket_size: int = BUCKET) -> DataFrame:
-    """(doc_id, place): windows whose words also start in a document of smaller doc_id."""
+    """doc_id, found: places (32-bit, in parts) of windows whose words also start in a document of smaller doc_id."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it stands")
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
@@ -183,49 +281,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK,
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, math.ceil(size / 6 / bucket_size))
-    probes = texts.mapInArrow(_probes(block, buckets), "bucket int, ids binary, counts binary, low binary, anchors binary")
-    answers = durable(
-        probes.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answers, "doc_id long, hits binary")
-    )
-    hits = answers.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
-    windows = durable(
+    probes = texts.mapInArrow(_probes(block, buckets), PARTS_SCHEMA)
+    hits = durable(_exchange(probes, buckets, _answer_probes, np.uint32))
+    windows = (
         texts.join(hits.hint("shuffle_hash"), "doc_id")
-        .select("doc_id", "text", "hits")
-        .mapInArrow(_candidates(window, block), "doc_id long, place int, full long")
-    )
-    first = windows.groupBy("full").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(
-        "first < last"
+        .select("doc_id", "text", "found")
+        .mapInArrow(_candidates(window, block, buckets), PARTS_SCHEMA)
     )
-    return windows.join(first, "full").where("doc_id > first").select("doc_id", "place")
-
-
-def _pack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places as one blob for each run of a document."""
-    for batch in batches:
-        doc, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(doc):
-            continue
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order].astype(np.int32)
-        edges = np.flatnonzero(np.diff(doc)) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[np.append(0, edges)]), pa.array([p.tobytes() for p in np.split(place, edges)], pa.binary())],
-            names=["doc_id", "places"],
-        )
+    return durable(_exchange(windows, buckets, _answer_windows, np.int32))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bucket_size: int = BUCKET) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of what is kept, for every row."""
-    places = (
-        repeated_windows(docs, window, block, bucket_size)
-        .mapInArrow(_pack_places, "doc_id long, places binary")
-        .groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    )
-    places = durable(places)
+    places = repeated_windows(docs, window, block, bucket_size)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return (
         texts.join(places.hint("shuffle_hash"), "doc_id", "left")
-        .select("doc_id", "text", "places")
+        .select("doc_id", "text", "found")
         .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     )
 
