@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,7 +32,8 @@ def durable(df: DataFrame) -> DataFrame:
         )
     kept = df.checkpoint(eager=True)
     del df
-    # The shuffles behind it are of no more use; Spark drops their files once they are garbage.
+    # The shuffles behind it are of no more use; Spark drops their files once both sides have let go of the plan.
+    gc.collect()
     context._jvm.System.gc()
     return kept
 
