@@ -11,9 +11,10 @@ those are indexed. Text that many documents share is common in the lists and dro
 out of that prefix, unless it makes up most of a document.
 
 No list is expanded into its pairs. Rounds link each document with a few pivots
-of its lists, verify, and join what is linked; in the end the members of a list
-that are still in different components are compared in blocks, by the estimate of
-their union sketches, and only what passes is emitted. Every candidate is verified
+of its lists, verify, and join what is linked. In the end a list's members outside
+its largest component are held against that component in blocks, by full sets, and
+among each other by the estimate of their union sketches; a pair is met in one
+list only, and only what passes is emitted. Every candidate is verified
 by exact Jaccard on the full shingle sets (64-bit hashes). Members of one component
 need no further comparison, so all components are found.
 
@@ -157,58 +158,179 @@ def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     return pairs.where("cu != cv").select("u", "v")
 
 
-def _block_pairs(shared: int):
+def _incidence(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, values) matrices over the values that both sides hold; other values can't be shared."""
+    parts = [np.concatenate(x) for x in (left, right)]
+    values = np.intersect1d(*parts)
+    out = []
+    for x, flat in zip((left, right), parts, strict=True):
+        m = np.zeros((len(x), len(values)), dtype=np.float32)
+        if len(values):
+            row = np.repeat(np.arange(len(x)), [len(s) for s in x])
+            at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+            known = values[at] == flat
+            m[row[known], at[known]] = 1
+        out.append(m)
+    return out[0], out[1]
+
+
+def _groups(rows: pd.DataFrame, key: str) -> dict[int, pd.DataFrame]:
+    return {k: g for k, g in rows.groupby(key, sort=False)} if len(rows) else {}
+
+
+def _pairs_frame(pairs) -> pd.DataFrame:
+    u, v = zip(*pairs, strict=True) if pairs else ((), ())
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+
+def _component_links(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Exact links of outside documents with a component's members and with each other.
+
+    Of the component's members the first found is enough to join a document; links
+    with documents outside it are all reported.
+    """
+    part, whole = SIMILAR
+    found: set[tuple[int, int]] = set()
+    members = _groups(right, "target")
+    for target, some in _groups(left, "target").items():
+        others = members.get(target)
+        if others is None:
+            continue
+        a, b = _incidence(some["full"].tolist(), others["full"].tolist())
+        both = a @ b.T
+        sizes = np.array([len(x) for x in some["full"]])[:, None] + np.array([len(x) for x in others["full"]])[None, :]
+        hits = whole * both >= part * (sizes - both)
+        hits &= some["component"].to_numpy()[:, None] != others["component"].to_numpy()[None, :]
+        x, y = some["node"].to_numpy(), others["node"].to_numpy()
+        inside = others["component"].to_numpy() == target
+        within = hits[:, inside]
+        for i in np.flatnonzero(within.any(axis=1)).tolist():
+            j = y[inside][int(within[i].argmax())]
+            found.add((max(x[i], j), min(x[i], j)))
+        for i, j in zip(*np.nonzero(hits & ~inside[None, :]), strict=True):
+            found.add((max(x[i], y[j]), min(x[i], y[j])))
+    return _pairs_frame(found)
+
+
+def component_links(minor: DataFrame, where: DataFrame, sets: DataFrame, block: int, bucket: int) -> DataFrame:
+    """Verified links of the documents around large components: with their members, and among each other.
+
+    minor: node, component, target (a component that shares a list with the node);
+    where: node, component. Sides are dealt to blocks of ``block`` documents, small
+    components to common buckets.
+    """
+    tasks = durable(minor.distinct())
+    targets = tasks.select("target").distinct()
+    inside = where.join(targets, F.col("component") == F.col("target"), "left_semi").withColumn("target", F.col("component"))
+    sides = inside.select("node", "component", "target").unionByName(tasks.select("node", "component", "target"))
+    sizes = sides.groupBy("target").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("component") != F.col("target")).alias("n")
+    )
+    sizes = durable(sizes.select("target", "rows", F.ceil(F.col("n") / block).cast("int").alias("px"), F.ceil(F.col("rows") / block).cast("int").alias("py")))
+    buckets = max(1, math.ceil((sizes.agg(F.sum("rows")).first()[0] or 0) / bucket))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    at = F.pmod(F.xxhash64("target"), F.lit(buckets)).cast("int").alias("bucket")
+    kept = ("node", "component", "target")
+    left = tasks.join(sizes, "target").select(*kept, at, of("px").alias("x"), every("py").alias("y")).join(sets, "node")
+    right = sides.join(sizes, "target").select(*kept, at, of("py").alias("y"), every("px").alias("x")).join(sets, "node")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # so that Spark tells the two sides apart
+    on = ("bucket", "x", "y")
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_component_links, "u long, v long").distinct()
+
+
+def _bucket_pairs(k: int, shared: int, matrix_from: int = 2000):
+    """Candidates of all the lists (or blocks of long lists) that share a bucket.
+
+    A pair is reported by the first of the lists that index both, and nowhere else.
+    """
+    part, whole = SIMILAR
+
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Pairs across two blocks of one list whose sketches share enough values."""
-        empty = pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
-        if not len(left) or not len(right):
-            return empty
-        sides = []
-        values = np.unique(np.concatenate([np.concatenate(x["sketch"].tolist()) for x in (left, right)]))
+        found: set[tuple[int, int]] = set()
+        sketches: dict[int, frozenset] = {}
+        prefixes: dict[int, frozenset] = {}
         for x in (left, right):
-            m = np.zeros((len(x), len(values)), dtype=np.float32)
-            for row, s in zip(m, x["sketch"], strict=True):
-                row[np.searchsorted(values, s)] = 1
-            sides.append(m)
-        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        least = np.array([least_shared(int(x), SKETCH, shared) for x in left["n"]])[:, None]
-        part, whole = SIMILAR
-        hits = (sides[0] @ sides[1].T >= least) & (whole * np.minimum(n, m) >= part * np.maximum(n, m))
-        hits &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-        a, b = left["node"].to_numpy(), right["node"].to_numpy()
-        hits &= a[:, None] > b[None, :]
-        i, j = np.nonzero(hits)
-        return pd.DataFrame({"u": a[i], "v": b[j]})
+            for node, sketch, prefix in x[["node", "sketch", "prefix"]].drop_duplicates("node").itertuples(index=False, name=None):
+                if node not in sketches:
+                    sketches[node], prefixes[node] = frozenset(sketch.tolist()), frozenset(prefix.tolist())
+        others_of = _groups(right, "value")
+        for value, some in _groups(left, "value").items():
+            others = others_of.get(value)
+            if others is None:
+                continue
+            y = others["node"].to_numpy()
+            m, apart = others["n"].to_numpy(), others["component"].to_numpy()
+            overlap = None
+            if len(some) * len(others) >= matrix_from:
+                a, b = _incidence(some["sketch"].tolist(), others["sketch"].tolist())
+                overlap = a @ b.T
+            for i, (node, n, component) in enumerate(some[["node", "n", "component"]].itertuples(index=False, name=None)):
+                least = least_shared(n, k, shared)
+                fits = (apart != component) & (whole * np.minimum(n, m) >= part * np.maximum(n, m))
+                if overlap is not None:
+                    fits &= overlap[i] >= least
+                for other in y[fits].tolist():
+                    if min(prefixes[node] & prefixes[other]) == value and (
+                        overlap is not None or len(sketches[node] & sketches[other]) >= least
+                    ):
+                        found.add((max(node, other), min(node, other)))
+        return _pairs_frame(found)
 
     return run
 
 
-def remaining_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, shared: int, block: int = BLOCK) -> DataFrame:
-    """Candidates of lists with members in several components, compared in blocks of ``block`` members."""
-    members = lists.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = members.groupBy("value").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")
-    ).where("lo != hi")
-    rows = (
-        members.join(split.select("value", F.ceil(F.col("m") / block).cast("int").alias("parts")), "value")
-        .join(classes.select("node", "sketch"), "node")
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def listed_pairs(rows: DataFrame, classes: DataFrame, lists: DataFrame, k: int, shared: int, block: int, bucket: int) -> DataFrame:
+    """Candidates among the rows (value, node, n, component, seeks, m) of each list; those that seek are held against all.
+
+    Long lists are compared in blocks, short ones gathered to buckets of about ``bucket`` rows.
+    """
+    buckets = max(1, math.ceil(rows.count() / bucket))
+    known = classes.select("node", "sketch").join(lists.groupBy("node").agg(F.collect_list("value").alias("prefix")), "node")
+    rows = rows.select(
+        "value", "node", "n", "component", "seeks", F.ceil(F.col("m") / block).cast("int").alias("parts"),
+        F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int").alias("bucket"),
+    ).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(known, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    kept = ("value", "node", "n", "component", "sketch", "prefix")
+    left = rows.where("seeks").select("bucket", "part", other.alias("other"), *kept)
+    right = rows.select(  # aliases, so that Spark tells the two sides apart
+        F.col("bucket").alias("bucket"), other.alias("part"), F.col("part").alias("other"), *[F.col(c).alias(c) for c in kept]
     )
-    # Each block meets every block of its list, itself included; u > v keeps one of the two orders.
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    kept = ("node", "n", "component", "sketch")
-    right = left.select(  # aliases, so that Spark tells the two sides apart
-        F.col("value").alias("value"), F.col("other").alias("part"), F.col("part").alias("other"),
-        *[F.col(c).alias(c) for c in kept],
-    )
-    left = left.select("value", "part", "other", *kept)
-    on = ("value", "part", "other")
+    on = ("bucket", "part", "other")
     return (
-        left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_block_pairs(shared), "u long, v long").distinct()
+        left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_bucket_pairs(k, shared), "u long, v long").distinct()
     )
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: int = SHARED, rounds: int = 3) -> DataFrame:
+def remaining_links(
+    lists: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, k: int, shared: int,
+    block: int = BLOCK, large: int = 8, bucket: int = 20_000,
+) -> DataFrame:
+    """Verified links in lists with members in several components.
+
+    Members of a list's largest component need no comparison with each other. If
+    that component has ``large`` members or more, all documents that share a list
+    with it are held against it and each other, once, by their full sets; else the
+    list's other documents are held against the whole list.
+    """
+    nodes = lists.select("node").distinct().join(comps, "node", "left")
+    where = durable(nodes.withColumn("component", F.coalesce("component", "node")))
+    sizes = where.groupBy("component").agg(F.count(F.lit(1)).alias("target_m")).withColumnRenamed("component", "target")
+    members = lists.join(where, "node")
+    counts = members.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
+    split = counts.groupBy("value").agg(
+        F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("n_components")
+    )
+    split = split.where("n_components > 1").select("value", "m", F.col("most.component").alias("target")).join(sizes, "target")
+    rows = durable(members.join(split, "value").withColumn("seeks", F.col("component") != F.col("target")))
+    minor = rows.where(F.col("seeks") & (F.col("target_m") >= large)).select("node", "component", "target")
+    first = durable(component_links(minor, where, sets, block, bucket))
+    candidates = listed_pairs(rows.where(F.col("target_m") < large), classes, lists, k, shared, block, bucket)
+    return first.unionByName(verified(durable(candidates), sets))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: int = SHARED, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = durable(
@@ -242,7 +364,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: in
         pending = durable(_apart(pending.join(todo, ["u", "v"], "left_anti"), comps))
         if pending.isEmpty():
             break
-    late = durable(verified(remaining_pairs(lists, comps, known, shared), sets))
+    late = durable(remaining_links(lists, comps, known, sets, k, shared))
     if not late.isEmpty():
         comps = durable(components(links.unionByName(late)))
     by_set = classes.join(comps, "node", "left").select(
@@ -257,11 +379,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: in
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that of smallest doc_id."""
-    kept = near_duplicates(docs, width).where("kept").select("doc_id").distinct()
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(
-        kept.hint("shuffle_hash"), "doc_id", "left_semi"
-    )
+    """``docs`` with one document of each group of near duplicates: that of smallest doc_id.
+
+    Of rows that repeat a kept doc_id one stays; rows without a doc_id go.
+    """
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = durable(near_duplicates(docs, width).where("kept").groupBy("doc_id").count())
+    out = rows.join(kept.where("count = 1").hint("shuffle_hash"), "doc_id", "left_semi")
+    repeated = kept.where("count > 1")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
