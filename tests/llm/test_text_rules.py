@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,6 +61,25 @@ def test_quality_thresholds_follow_the_group(spark):
     assert {r.doc_id for r in quality.quality_filter(docs, broadcast_groups=0).where("kept").collect()} == kept
 
 
+@pytest.mark.parametrize("n_junk", [16, 45, 90, 130])
+def test_quality_drops_junk_that_is_common_in_a_source(spark, n_junk):
+    """5 to 30 % of a source: tables with a bar every few words, and words with symbols attached."""
+    clean = [(i, " ".join(f"word{i}x{j}" for j in range(80)), "en", "a", 1) for i in range(300)]
+    tables = [(1000 + i, " ".join("|" if j % 3 == 2 else f"cell{j}x" for j in range(90)), "en", "a", 1) for i in range(n_junk // 2)]
+    attached = [(2000 + i, " ".join(f"word{j}###" for j in range(80)), "en", "a", 1) for i in range(n_junk - n_junk // 2)]
+    docs = spark.createDataFrame(clean + tables + attached, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in quality.quality_filter(docs).where("kept").collect()} == set(range(300))
+
+
+def test_quality_labels(spark):
+    """Labelled documents of sf0.01: the sound ones that pass the base rules stay, the junk goes."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.quality_filter(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").join(labels, "doc_id").collect()
+    assert {r.quality for r in rows} == {0, 1}
+    assert all(r.kept == (r.quality == 1) for r in rows)
+
+
 def slow_pii(text):
     luhn = lambda d: sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(d[::-1])) % 10 == 0
     out = []

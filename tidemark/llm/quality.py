@@ -27,6 +27,8 @@ SPACES = b" \t\n\r\x0b\x0c"
 TAILS = bytes(range(0x80, 0xC0))
 #: Upper fences are drawn for these; mean word length gets a lower one as well.
 RATIOS = ("symbol_ratio", "line_ratio", "repeat_ratio", "word_length")
+#: A spread is at least this share of the median.
+RELATIVE = 0.1
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -100,17 +102,21 @@ def _ratios(counts: DataFrame) -> DataFrame:
 
 
 def _fences(sketches: DataFrame, reach: float, floors: dict[str, float]) -> DataFrame:
-    """Upper (and lower) limit of each ratio from its sketch."""
+    """Upper (and lower) limit of each ratio from its sketch.
+
+    Upper limits rest on the median and the lower quartile alone, so that junk
+    does not move them while it is less than half of a group.
+    """
     out = {}
     for name in RATIOS:
         q = {
             p: F.expr(f"kll_sketch_get_quantile_double({name}, {p}D)")
-            for p in (0.25, 0.5, 0.75, 0.95)
+            for p in (0.25, 0.5, 0.75)
         }
-        spread = F.greatest(q[0.75] - q[0.25], F.lit(floors[name]))
-        out[f"{name}_hi"] = F.greatest(q[0.75] + reach * spread, q[0.95] + spread)
+        spread = F.greatest(2 * (q[0.5] - q[0.25]), RELATIVE * q[0.5], F.lit(floors[name]))
+        out[f"{name}_hi"] = q[0.5] + reach * spread
         if name == "word_length":
-            out[f"{name}_lo"] = q[0.25] - reach * spread
+            out[f"{name}_lo"] = q[0.25] - reach * F.greatest(q[0.75] - q[0.25], F.lit(floors[name]))
     return sketches.select(
         *[c for c in sketches.columns if c not in RATIOS], *[c.alias(n) for n, c in out.items()]
     )
@@ -149,13 +155,15 @@ def quality_filter(
 ) -> DataFrame:
     """Counts, ratios, ``base_failed`` and ``kept`` of every document.
 
-    ``reach``: how many spreads (quartile distance, at least the ratio's entry
-    in ``floors``) beyond the upper quartile a ratio may lie. Thresholds are
+    ``reach``: how many spreads (twice the distance from lower quartile to
+    median, at least the ratio's entry in ``floors`` and a tenth of the median)
+    beyond the median a ratio may lie; word length may lie as many quartile
+    distances below its lower quartile. Thresholds are
     broadcast only while there are at most ``broadcast_groups`` groups; beyond
     that they are joined by shuffle.
     """
     floors = floors or {
-        "symbol_ratio": 0.02, "line_ratio": 0.03, "repeat_ratio": 0.05, "word_length": 0.5
+        "symbol_ratio": 0.005, "line_ratio": 0.03, "repeat_ratio": 0.05, "word_length": 0.5
     }
     rows = _ratios(durable(count_texts(docs)))
     by_group, by_lang, whole = thresholds(rows, min_group, reach, floors)
