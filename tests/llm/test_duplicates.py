@@ -70,6 +70,51 @@ def test_keep_one_returns_documents(edge_docs):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def slow_kept(rows, width=5):
+    """Rows of smallest doc_id (null last) of each group; rows of a tie may be any of it."""
+    sets, group = [], list(range(len(rows)))
+    for r in rows:
+        w = WORD.findall(lower(r.text))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                group[top(i)] = top(j)
+    found = {}
+    for i, r in enumerate(rows):
+        found.setdefault(top(i), []).append((r.doc_id is None, r.doc_id or 0, r))
+    return [[x[2] for x in g if x[:2] == min(y[:2] for y in g)] for g in found.values()]
+
+
+def check_kept(docs):
+    groups = slow_kept(docs.collect())
+    left = neardup.keep_one(docs).collect()
+    assert len(left) == len(groups)
+    for g in groups:
+        left.remove(next(r for r in left if r in g))
+
+
+def test_keep_one_by_brute_force(spark, edge_docs, no_docs):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    check_kept(edge_docs.select(columns))
+    check_kept(edge_docs.select(columns).where("doc_id is not null").dropDuplicates(["doc_id"]))
+    assert neardup.keep_one(no_docs).count() == 0
+    text = [" ".join(f"{p}{i}" for i in range(60)) for p in "abcdef"]
+    near = lambda t: t + " end"
+    rows = [
+        (None, text[0]), (None, near(text[1])), (3, text[1]), (None, text[2]), (None, near(text[2])),  # null ids
+        (7, text[3]), (7, text[4]), (7, near(text[4])), (8, text[5]), (6, near(text[5])), (6, text[0] + " x y z q r"), (9, ""), (None, None),  # repeated ids
+    ]
+    check_kept(spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"))
+
+
 def slow_removal(rows, window=13):
     words = [WORD.findall(r.text or "") for r in rows]
     first = {}

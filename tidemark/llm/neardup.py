@@ -379,17 +379,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: in
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that of smallest doc_id.
+    """``docs`` with one row of each group of near duplicates: that of smallest doc_id.
 
-    Of rows that repeat a kept doc_id one stays; rows without a doc_id go.
+    Rows without words stay. Where doc_ids are null or repeat, rows are compared
+    by keys of their own, dealt in the order of doc_id with null last.
     """
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    kept = durable(near_duplicates(docs, width).where("kept").groupBy("doc_id").count())
-    out = rows.join(kept.where("count = 1").hint("shuffle_hash"), "doc_id", "left_semi")
-    repeated = kept.where("count > 1")
-    if repeated.isEmpty():
-        return out
-    return out.unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        kept = durable(near_duplicates(rows, width).where("kept").select("doc_id"))
+        return rows.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    # The hash deals a hot doc_id (or null) to several ranges; the ids follow the ranges.
+    order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    keyed = durable(rows.orderBy(*order).withColumn("row_key", F.monotonically_increasing_id()))
+    found = near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), width)
+    kept = durable(found.where("kept").select(F.col("doc_id").alias("row_key")))
+    return keyed.join(kept.hint("shuffle_hash"), "row_key", "left_semi").select(*rows.columns)
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
