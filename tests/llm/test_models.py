@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import ann, language, mixing, packing, urls
 
@@ -30,6 +31,25 @@ def test_language_edge_cases(spark, edge_docs, no_docs):
     assert language.grams("\U0001f600 \U00010400") is not None and language.grams("12 --") is None
 
 
+def test_keep_identified_drops_only_texts_without_a_letter(edge_docs, no_docs):
+    def lettered(docs):
+        return sorted(((r.doc_id, r.text, r.source, r.n_chars) for r in docs.collect() if any(c.isalpha() for c in r.text or "")), key=repr)
+
+    def found(docs):
+        return sorted(((r.doc_id, r.text, r.source, r.n_chars) for r in language.keep_identified(docs).collect()), key=repr)
+
+    assert found(edge_docs) == lettered(edge_docs)
+    given = {r.doc_id: r.lang for r in edge_docs.collect()}
+    for r in language.keep_identified(edge_docs).collect():
+        assert r.lang == given[r.doc_id] if given[r.doc_id] else r.lang in ("en", "de")
+    assert language.keep_identified(no_docs).count() == 0
+    unlabelled = edge_docs.withColumn("lang", F.lit(None).cast("string"))
+    assert found(unlabelled) == lettered(unlabelled)
+    assert {r.lang for r in language.keep_identified(unlabelled).collect()} == {None}
+    for docs in (edge_docs.where(language.held_out()), edge_docs.withColumn("lang", F.lit("und"))):
+        assert found(docs) == lettered(docs) != []
+
+
 def brute_neighbours(rows, queries, k):
     out = {}
     for q, v in queries:

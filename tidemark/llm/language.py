@@ -174,19 +174,38 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _fields(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def _predicted(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
+    run = _predictor(rows.sparkSession.sparkContext, langs, table)
+    return rows.mapInArrow(run, f"{_fields(rows)}, lang_pred string, score double")
+
+
+def _with_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(batch.schema.names.index("text"))
+        yield batch.filter(pa.array([grams(v.as_py()) is not None for v in texts], pa.bool_()))
+
+
 def identify(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` (text among them) with lang_pred and score."""
     langs, table = learn(docs.where(~held_out()))
-    rows = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    run = _predictor(docs.sparkSession.sparkContext, langs, table)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return _predicted(docs.select(*keep), langs, table)
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """Documents whose language was decided, with score of ``min_score`` at least; a null lang is filled in."""
-    found = identify(docs, ["doc_id", "text", "lang", "source", "n_chars"])
-    return found.where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= min_score)).select(
+    """Documents with a letter and a score of ``min_score`` at least; a null lang is filled in.
+
+    If no language can be learned, all documents with a letter stay as they are.
+    """
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    langs, table = learn(docs.where(~held_out()))
+    if not langs:
+        return rows.mapInArrow(_with_letters, _fields(rows))
+    found = _predicted(rows, langs, table)  # only a text without a letter has score 0
+    return found.where((F.col("score") > 0) & (F.col("score") >= min_score)).select(
         "doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars"
     )
 
