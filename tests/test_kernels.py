@@ -36,6 +36,13 @@ def test_components_against_union_find(spark):
     assert got == {n: top(n) for n in group}
 
 
+def test_components_of_a_long_chain(spark):
+    path = [0, *range(130, 0, -1)]  # labels advance one hop a round here
+    edges = [*zip(path[:-1], path[1:], strict=True), (900, 900)]
+    got = {r.node: r.component for r in similarity.label_components(frame(spark, edges, "u long, v long")).collect()}
+    assert got == {n: 0 for n in path} | {900: 900}
+
+
 def test_clusters_and_selection(spark):
     def at(deg):
         return [math.cos(math.radians(deg)), math.sin(math.radians(deg))]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import cosine
+from tidemark.llm.graph import components
 
 
 def centroids(vectors: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
@@ -91,28 +92,11 @@ def compatible(a: Column, b: Column, share: float) -> Column:
     return F.when(F.size(common) <= 0, F.lit(True)).otherwise(F.size(equal) / F.size(common) >= share)
 
 
-def label_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): least-label propagation with shortcuts over undirected edges (u, v).
-
-    Each round is a join and a minimum; lineage is cut by a reliable checkpoint
-    where the session has a checkpoint folder.
-    """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    cut = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df)
-    both = cut(both)
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
-    total = None
-    for _ in range(rounds):
-        labels = cut(labels)
-        now = labels.agg(F.sum("label")).first()[0]
-        if now == total:
-            break
-        total = now
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        step = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "m").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        labels = step.join(jump, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
-    return labels.withColumnRenamed("label", "component")
+def label_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of undirected edges (u, v), by alternating stars until they are stable; component is its smallest node."""
+    alone = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+    found = components(edges)
+    return found.unionByName(alone.join(found, "node", "left_anti"))
 
 
 def merge_survivors(members: DataFrame, weight: str) -> DataFrame:
