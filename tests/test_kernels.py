@@ -43,6 +43,14 @@ def test_components_of_a_long_chain(spark):
     assert got == {n: 0 for n in path} | {900: 900}
 
 
+def test_all_candidates_are_scored(spark):
+    items = frame(spark, [(i, [1.0, float(i)]) for i in range(3)], "item long, embedding array<double>")
+    roster = frame(spark, [(i, [1.0, i / 7]) for i in range(1200)], "candidate long, c_vec array<double>")
+    for bound in (1000, 2000):
+        rows = similarity.candidate_scores(items, roster, bound).select("item", "candidate").distinct()
+        assert rows.count() == 3 * 1200
+
+
 def test_clusters_and_selection(spark):
     def at(deg):
         return [math.cos(math.radians(deg)), math.sin(math.radians(deg))]

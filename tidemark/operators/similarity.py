@@ -40,6 +40,20 @@ def nearest_prototype(items: DataFrame, prototypes: DataFrame, keys: list[str],
     )
 
 
+def candidate_scores(items: DataFrame, candidates: DataFrame, broadcast_rows: int = 1000, blocks: int = 64) -> DataFrame:
+    """item, candidate, sim of every item (item, embedding) with every candidate (candidate, c_vec).
+
+    Candidates are broadcast while there are at most ``broadcast_rows``; beyond
+    that each item is sent to every one of ``blocks`` blocks of candidates.
+    """
+    sim = F.round(cosine(F.col("embedding"), F.col("c_vec")), 6).alias("sim")
+    if candidates.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return items.crossJoin(F.broadcast(candidates)).select("item", "candidate", sim)
+    dealt = candidates.withColumn("block", F.pmod(F.xxhash64("candidate"), F.lit(blocks)).cast("int"))
+    sent = items.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return sent.join(dealt.hint("merge"), "block").select("item", "candidate", sim)
+
+
 def closed_set(scores: DataFrame, floor: float, margin: float) -> DataFrame:
     """Best candidate of each item unless it is below ``floor`` or less than ``margin`` above the second.
 

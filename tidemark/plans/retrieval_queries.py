@@ -168,9 +168,9 @@ SELECT item, candidate, sim, CASE WHEN sim < 0.28 THEN 'below_floor' WHEN second
 def closed_set_assignment(spark, d):
     """Assignment to a roster with a floor and a margin; the roster is ten prototypes."""
     e = table(spark, d, "embeddings")
-    c = V.centroids(e.select("label", F.col("embedding").alias("vec")), ["label"]).select(F.col("label").alias("candidate"), F.col("vec").alias("c_vec"), F.lit(1).alias("one"))
-    items = e.select(F.col("vec_id").alias("item"), "embedding", F.lit(1).alias("one"))
-    scores = items.join(F.broadcast(c.limit(1000)), "one").select("item", "candidate", F.round(cosine(F.col("embedding"), F.col("c_vec")), 6).alias("sim"))
+    c = V.centroids(e.select("label", F.col("embedding").alias("vec")), ["label"]).select(F.col("label").alias("candidate"), F.col("vec").alias("c_vec"))
+    items = e.select(F.col("vec_id").alias("item"), "embedding")
+    scores = V.candidate_scores(items, c)
     return V.closed_set(scores, 0.28, 0.06).select("item", "candidate", "sim", "outcome")
 
 
