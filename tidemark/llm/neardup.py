@@ -13,7 +13,7 @@ out of that prefix, unless it makes up most of a document.
 No list is expanded into its pairs. Rounds link each document with a few pivots
 of its lists, verify, and join what is linked. In the end a list's members outside
 its largest component are held against that component in blocks, by full sets, and
-among each other by the estimate of their union sketches; a pair is met in one
+the members of small lists by the count of the retained values they share; a pair is met in one
 list only, and only what passes is emitted. Every candidate is verified
 by exact Jaccard on the full shingle sets (64-bit hashes). Members of one component
 need no further comparison, so all components are found.
