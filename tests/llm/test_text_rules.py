@@ -118,6 +118,14 @@ def test_pii_edge_cases(edge_docs, no_docs):
     assert pii.detect_pii(no_docs).count() == 0 and pii.scrub(no_docs).count() == 0
 
 
+def test_scrub_by_plain_replacement(spark):
+    texts = ["plain prose stays", "mail a.b@c.org now, or d@e.net", "", None, "host 10.0.0.1 and a.b@c.org"]
+    rows = [(i, t, "en", None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    got = pii.scrub(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    want = [t and re.sub(r"[a-z.]+@[a-z]+\.[a-z]+", "<EMAIL>", t).replace("10.0.0.1", "<IP>") for t in texts]
+    assert sorted(tuple(r) for r in got) == [(i, t, "en", None, None if t is None else len(t)) for i, t in enumerate(want)]
+
+
 def slow_secrets(text):
     out = []
     for k, (kind, pattern, test) in enumerate(
