@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import cosine
-from tidemark.llm.graph import components
+from tidemark.operators.graph import components
 
 
 def centroids(vectors: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:

@@ -7,7 +7,6 @@ sees the row itself or a later one.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.sources.checkpoints import shared_folder
+
 ANSWER = "story long, idx long, sources string, n_seen long"
 MEMORY = "recent array<long>, seen long"
 
@@ -46,12 +47,9 @@ def windowed_counts(events: DataFrame, delay: str, width: str) -> DataFrame:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
+def stream_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def drained(stream: DataFrame) -> DataFrame:
     The sink commits each micro-batch once, so a restarted run adds nothing twice.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = stream_folder(spark)
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).start(f"{folder}/rows")
