@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from tidemark.llm import neardup, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,6 +67,21 @@ def test_chains_and_large_groups(spark):
     assert found_groups(neardup.near_duplicates(docs, 4, rounds=1)) == slow_groups(docs.collect(), 4)
 
 
+def test_links_run_through_rows_without_an_id(spark):
+    words = [f"n{i}" for i in range(300)]
+    middle = words[:6] + ["m1"] + words[7:]
+    rows = [(1, " ".join(words[:290])), (None, " ".join(words[12:])), (2, " ".join(words[26:] + ["z1", "z2", "z3"])), (2, " ".join(middle[150:])), (None, "alone " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_groups(neardup.near_duplicates(docs, 4)) == slow_groups(docs.collect(), 4)
+
+
+def test_shared_counts_in_slices():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 400, n)) for n in (0, 3, 150, 390, 80)]
+    got = neardup.shared_counts(sets[:3], sets, width=7)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:3]]
+
+
 def test_keep_one_returns_documents(edge_docs):
     kept = neardup.keep_one(edge_docs)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]

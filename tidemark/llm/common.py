@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidemark.sources.checkpoints import durable, shared_folder
+
+__all__ = ["WORD", "WordHash", "binary", "durable", "hand_back", "mix", "shared_folder", "window_hashes", "word_hashes"]
 
 #: Java pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,54 +21,24 @@ MASK64 = (1 << 64) - 1
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
-
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is
-    set only where the session has none (tests on one machine).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-        )
-    kept = df.checkpoint(eager=True)
-    del df
-    # The shuffles behind it are of no more use; Spark drops their files once both sides have let go of the plan.
-    gc.collect()
-    context._jvm.System.gc()
-    return kept
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def binary(column: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 bytes of a string column, one after the other, without decoding."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return (value.as_py() for value in column.cast(kind))
 
 
-def free_names(df: DataFrame, *stems: str) -> list[str]:
-    """Column names that do not clash with those of ``df``."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for stem in stems:
-        name = stem
-        while name.lower() in taken:
-            name = f"{stem}_{uuid.uuid4().hex[:8]}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-def binary(column: pa.Array) -> list[bytes | None]:
-    """UTF-8 bytes of a string column, without decoding."""
-    if pa.types.is_large_string(column.type):
-        return column.cast(pa.large_binary()).to_pylist()
-    return column.cast(pa.binary()).to_pylist()
+def hand_back() -> None:
+    """Return free memory to the system at a task's end: Python workers live on and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class WordHash(dict):
     """64-bit hash of a word (bytes); the commonest words are remembered."""
 
-    limit = 400_000
+    limit = 120_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -97,8 +70,3 @@ def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         acc = acc * PRIME
         acc += h[j : j + n]
     return mix(acc)
-
-
-def source_rank(col: str = "source"):
-    """Sort order by code point with null last (Spark compares strings by UTF-8 bytes)."""
-    return [F.col(col).isNull().asc(), F.col(col).asc()]

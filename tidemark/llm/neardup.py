@@ -10,17 +10,24 @@ meet in a list of one of their ``size - least_shared + 1`` rarest values, and on
 those are indexed. Text that many documents share is common in the lists and drops
 out of that prefix, unless it makes up most of a document.
 
+The ``k`` smallest values of two sketches together are the sketch of the union, and
+the share of them that both hold estimates the Jaccard similarity. Every candidate
+must reach an estimate of ``shared / k`` (0.5; where the union has ``k`` values or
+fewer the estimate is exact and must reach ``SIMILAR``); what passes is verified by
+exact Jaccard on the full shingle sets (64-bit hashes).
+
 No list is expanded into its pairs. Rounds link each document with a few pivots
 of its lists, verify, and join what is linked. In the end a list's members outside
-its largest component are held against that component in blocks, by full sets, and
+its largest component are held against that component in blocks bounded by the
+number of their shingles, and
 the members of small lists by the count of the retained values they share; a pair is met in one
-list only, and only what passes is emitted. Every candidate is verified
-by exact Jaccard on the full shingle sets (64-bit hashes). Members of one component
+list only, and only what passes is emitted. Members of one component
 need no further comparison, so all components are found.
 
 Edge cases: a text with fewer words than a shingle is one shingle; a text without
-words has an empty set and links with nothing; rows of one doc_id are one document
-for links; a null doc_id never is a component's id unless all copies have none;
+words has an empty set and links with nothing; every row is a document of its own,
+whatever its doc_id, so links also run through rows without one; a component's id is its
+smallest doc_id, null if all its rows have none;
 repeated rows return each; an empty table gives no rows; further columns are
 ignored.
 """
@@ -34,27 +41,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary, durable, mix, window_hashes, word_hashes
-from .graph import components
+from tidemark.operators.graph import components
+
+from .common import WordHash, binary, durable, hand_back, mix, window_hashes, word_hashes
 
 SIMILAR = (80, 100)  # 100 * intersection >= 80 * union
 SKETCH = 64
 SHARED = 32
-BLOCK = 512
+#: Documents and shingles that one side of a block of comparisons holds at most.
+BLOCK = 2048
+BLOCK_VALUES = 1 << 20
 
 
 def shingle_set(raw: bytes | None, width: int, table: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles, A-Z lower-cased."""
+    """Sorted distinct 64-bit hashes (signed, as Spark has them) of the text's shingles, A-Z lower-cased."""
     words = raw.lower().split() if raw else []
     if not words:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.int64)
     h = word_hashes(words, table)
     if len(words) < width:
-        return mix(window_hashes(h, len(words), seed=len(words)))
-    return np.unique(window_hashes(h, width))
+        return mix(window_hashes(h, len(words), seed=len(words))).view(np.int64)
+    return np.unique(window_hashes(h, width).view(np.int64))
 
 
 def least_shared(size: int, k: int = SKETCH, shared: int = SHARED) -> int:
@@ -67,32 +77,39 @@ def _sketches(width: int, k: int):
         table = WordHash()
         for batch in batches:
             sizes, keys, kept = [], [], []
-            for raw in binary(batch.column(1)):
+            for raw in binary(batch.column(2)):
                 s = shingle_set(raw, width, table)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                kept.append(s[:k].view(np.int64))
+                kept.append(s[:k])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(kept, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "sketch"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(kept, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "set_key", "sketch"],
             )
+        del table
+        hand_back()
 
     return run
 
 
 def _full_sets(width: int):
+    """Full sets of the nodes of a task, one for each though copies of its row meet here."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHash()
+        table, seen = WordHash(), set()
         for batch in batches:
-            ids, sets = [], []
-            for doc, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
+            nodes, sets = [], []
+            for node, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
+                if node in seen:
+                    continue
                 s = shingle_set(raw, width, table)
                 if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key:
-                    ids.append(doc)
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "full"]
-            )
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "full"])
+        del table, seen
+        hand_back()
 
     return run
 
@@ -115,18 +132,35 @@ def inverted_lists(classes: DataFrame, k: int, shared: int) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar."""
+def promising(a: Column, b: Column, k: int, shared: int) -> Column:
+    """Whether the union sketch of two sorted sets lets them be similar."""
+    part, whole = SIMILAR
+    x, y = F.slice(a, 1, k), F.slice(b, 1, k)
+    union = F.slice(F.array_sort(F.array_union(x, y)), 1, k)
+    both = F.size(F.array_intersect(F.array_intersect(x, y), union))
+    return F.when(F.size(union) < k, whole * both >= part * F.size(union)).otherwise(both >= shared)
+
+
+def may_be_similar(a: frozenset, b: frozenset, k: int, shared: int) -> bool:
+    """The same of two sketches in Python."""
+    part, whole = SIMILAR
+    both = a & b
+    if len(both) < min(shared, least_shared(max(len(a), len(b)), k, shared)):
+        return False
+    union = sorted(a | b)[:k]
+    n = sum(x in both for x in union)
+    return whole * n >= part * len(union) if len(union) < k else n >= shared
+
+
+def verified(pairs: DataFrame, sets: DataFrame, k: int = SKETCH, shared: int = SHARED) -> DataFrame:
+    """The pairs (u, v) whose union sketches let them be similar and whose full sets are."""
     part, whole = SIMILAR
     a = sets.select(F.col("node").alias("u"), F.col("full").alias("fu"))
     b = sets.select(F.col("node").alias("v"), F.col("full").alias("fv"))
-    both = F.size(F.array_intersect("fu", "fv"))
-    return (
-        pairs.join(a, "u").join(b, "v")
-        .withColumn("both", both.cast("long"))
-        .where(whole * F.col("both") >= part * (F.size("fu") + F.size("fv") - F.col("both")))
-        .select("u", "v")
-    )
+    both = F.size(F.array_intersect("fu", "fv")).cast("long")
+    similar = whole * both >= part * (F.size("fu") + F.size("fv") - both)
+    hopeful = promising(F.col("fu"), F.col("fv"), k, shared)
+    return pairs.join(a, "u").join(b, "v").where(F.when(hopeful, similar).otherwise(F.lit(False))).select("u", "v")
 
 
 def _sizes_fit(a: str, b: str):
@@ -158,20 +192,29 @@ def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     return pairs.where("cu != cv").select("u", "v")
 
 
-def _incidence(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, values) matrices over the values that both sides hold; other values can't be shared."""
-    parts = [np.concatenate(x) for x in (left, right)]
-    values = np.intersect1d(*parts)
-    out = []
-    for x, flat in zip((left, right), parts, strict=True):
-        m = np.zeros((len(x), len(values)), dtype=np.float32)
-        if len(values):
-            row = np.repeat(np.arange(len(x)), [len(s) for s in x])
-            at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
-            known = values[at] == flat
-            m[row[known], at[known]] = 1
-        out.append(m)
-    return out[0], out[1]
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """(left, right) numbers of common values of sorted sets, as products of 0/1 matrices of ``width`` values at a time."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    flat = [np.concatenate(x) for x in (left, right)]
+    values = np.intersect1d(*flat)
+    if not len(values):
+        return out
+    sides = []
+    for x, all_ in zip((left, right), flat, strict=True):
+        at = np.minimum(np.searchsorted(values, all_), len(values) - 1)
+        known = values[at] == all_
+        row, at = np.repeat(np.arange(len(x)), [len(s) for s in x])[known], at[known]
+        order = np.argsort(at, kind="stable")
+        sides.append((row[order], at[order]))
+    for first in range(0, len(values), width):
+        cells = []
+        for x, (row, at) in zip((left, right), sides, strict=True):
+            a, b = np.searchsorted(at, (first, first + width))
+            m = np.zeros((len(x), min(width, len(values) - first)), dtype=np.float32)
+            m[row[a:b], at[a:b] - first] = 1
+            cells.append(m)
+        out += cells[0] @ cells[1].T
+    return out
 
 
 def _groups(rows: pd.DataFrame, key: str) -> dict[int, pd.DataFrame]:
@@ -183,51 +226,70 @@ def _pairs_frame(pairs) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
 
-def _component_links(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Exact links of outside documents with a component's members and with each other.
-
-    Of the component's members the first found is enough to join a document; links
-    with documents outside it are all reported.
-    """
+def _linker(k: int, shared: int):
     part, whole = SIMILAR
-    found: set[tuple[int, int]] = set()
-    members = _groups(right, "target")
-    for target, some in _groups(left, "target").items():
-        others = members.get(target)
-        if others is None:
-            continue
-        a, b = _incidence(some["full"].tolist(), others["full"].tolist())
-        both = a @ b.T
-        sizes = np.array([len(x) for x in some["full"]])[:, None] + np.array([len(x) for x in others["full"]])[None, :]
-        hits = whole * both >= part * (sizes - both)
-        hits &= some["component"].to_numpy()[:, None] != others["component"].to_numpy()[None, :]
-        x, y = some["node"].to_numpy(), others["node"].to_numpy()
-        inside = others["component"].to_numpy() == target
-        within = hits[:, inside]
-        for i in np.flatnonzero(within.any(axis=1)).tolist():
-            j = y[inside][int(within[i].argmax())]
-            found.add((max(x[i], j), min(x[i], j)))
-        for i, j in zip(*np.nonzero(hits & ~inside[None, :]), strict=True):
-            found.add((max(x[i], y[j]), min(x[i], y[j])))
-    return _pairs_frame(found)
-
-
-def component_links(minor: DataFrame, where: DataFrame, sets: DataFrame, block: int, bucket: int) -> DataFrame:
+
+    def similar(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        """(left, right) mask of similar documents in different components: first by sketches, then by full sets."""
+        a, b = left["full"].tolist(), right["full"].tolist()
+        n, m = (np.array([len(x) for x in side]) for side in (a, b))
+        hits = left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+        hits &= whole * np.minimum(n[:, None], m[None, :]) >= part * np.maximum(n[:, None], m[None, :])
+        least = np.array([least_shared(x, k, shared) for x in n.tolist()])
+        hits &= shared_counts([x[:k] for x in a], [x[:k] for x in b]) >= least[:, None]
+        x, y = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
+        if len(x):
+            both = shared_counts([a[i] for i in x.tolist()], [b[j] for j in y.tolist()])
+            hits[np.ix_(x, y)] &= whole * both >= part * (n[x][:, None] + m[y][None, :] - both)
+        return hits
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Exact links of outside documents with a component's members and with each other.
+
+        Of the component's members the first found is enough to join a document; links
+        with documents outside it are all reported.
+        """
+        found: set[tuple[int, int]] = set()
+        members = _groups(right, "target")
+        for target, some in _groups(left, "target").items():
+            others = members.get(target)
+            if others is None:
+                continue
+            hits = similar(some, others)
+            x, y = some["node"].to_numpy(), others["node"].to_numpy()
+            inside = others["component"].to_numpy() == target
+            within = hits[:, inside]
+            for i in np.flatnonzero(within.any(axis=1)).tolist():
+                j = y[inside][int(within[i].argmax())]
+                found.add((max(x[i], j), min(x[i], j)))
+            for i, j in zip(*np.nonzero(hits & ~inside[None, :]), strict=True):
+                found.add((max(x[i], y[j]), min(x[i], y[j])))
+        return _pairs_frame(found)
+
+    return run
+
+
+def component_links(minor: DataFrame, where: DataFrame, sets: DataFrame, k: int, shared: int, block: int, values: int) -> DataFrame:
     """Verified links of the documents around large components: with their members, and among each other.
 
     minor: node, component, target (a component that shares a list with the node);
-    where: node, component. Sides are dealt to blocks of ``block`` documents, small
-    components to common buckets.
+    where: node, n, component. Sides are dealt to blocks of about ``block`` documents and
+    ``values`` shingles, whichever are fewer; small components share buckets of as many shingles.
     """
     tasks = durable(minor.distinct())
     targets = tasks.select("target").distinct()
     inside = where.join(targets, F.col("component") == F.col("target"), "left_semi").withColumn("target", F.col("component"))
-    sides = inside.select("node", "component", "target").unionByName(tasks.select("node", "component", "target"))
+    around = tasks.join(where.select("node", "n"), "node")
+    sides = inside.select("node", "n", "component", "target").unionByName(around.select("node", "n", "component", "target"))
+    outer = F.col("component") != F.col("target")
+    parts = lambda rows, size: F.greatest(F.ceil(rows / block), F.ceil(size / values)).cast("int")
     sizes = sides.groupBy("target").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("component") != F.col("target")).alias("n")
+        F.sum("n").alias("size"),
+        parts(F.count(F.lit(1)), F.sum("n")).alias("py"),
+        parts(F.count_if(outer), F.coalesce(F.sum(F.when(outer, F.col("n"))), F.lit(0))).alias("px"),
     )
-    sizes = durable(sizes.select("target", "rows", F.ceil(F.col("n") / block).cast("int").alias("px"), F.ceil(F.col("rows") / block).cast("int").alias("py")))
-    buckets = max(1, math.ceil((sizes.agg(F.sum("rows")).first()[0] or 0) / bucket))
+    sizes = durable(sizes)
+    buckets = max(1, math.ceil((sizes.agg(F.sum("size")).first()[0] or 0) / values))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     at = F.pmod(F.xxhash64("target"), F.lit(buckets)).cast("int").alias("bucket")
@@ -236,7 +298,7 @@ def component_links(minor: DataFrame, where: DataFrame, sets: DataFrame, block:
     right = sides.join(sizes, "target").select(*kept, at, of("py").alias("y"), every("px").alias("x")).join(sets, "node")
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # so that Spark tells the two sides apart
     on = ("bucket", "x", "y")
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_component_links, "u long, v long").distinct()
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_linker(k, shared), "u long, v long").distinct()
 
 
 def _bucket_pairs(k: int, shared: int, matrix_from: int = 2000):
@@ -263,17 +325,14 @@ def _bucket_pairs(k: int, shared: int, matrix_from: int = 2000):
             m, apart = others["n"].to_numpy(), others["component"].to_numpy()
             overlap = None
             if len(some) * len(others) >= matrix_from:
-                a, b = _incidence(some["sketch"].tolist(), others["sketch"].tolist())
-                overlap = a @ b.T
+                overlap = shared_counts(some["sketch"].tolist(), others["sketch"].tolist())
             for i, (node, n, component) in enumerate(some[["node", "n", "component"]].itertuples(index=False, name=None)):
                 least = least_shared(n, k, shared)
                 fits = (apart != component) & (whole * np.minimum(n, m) >= part * np.maximum(n, m))
                 if overlap is not None:
                     fits &= overlap[i] >= least
                 for other in y[fits].tolist():
-                    if min(prefixes[node] & prefixes[other]) == value and (
-                        overlap is not None or len(sketches[node] & sketches[other]) >= least
-                    ):
+                    if min(prefixes[node] & prefixes[other]) == value and may_be_similar(sketches[node], sketches[other], k, shared):
                         found.add((max(node, other), min(node, other)))
         return _pairs_frame(found)
 
@@ -305,7 +364,7 @@ def listed_pairs(rows: DataFrame, classes: DataFrame, lists: DataFrame, k: int,
 
 def remaining_links(
     lists: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, k: int, shared: int,
-    block: int = BLOCK, large: int = 8, bucket: int = 20_000,
+    block: int = BLOCK, values: int = BLOCK_VALUES, large: int = 8, bucket: int = 4_000,
 ) -> DataFrame:
     """Verified links in lists with members in several components.
 
@@ -314,10 +373,10 @@ def remaining_links(
     with it are held against it and each other, once, by their full sets; else the
     list's other documents are held against the whole list.
     """
-    nodes = lists.select("node").distinct().join(comps, "node", "left")
+    nodes = lists.select("node", "n").distinct().join(comps, "node", "left")
     where = durable(nodes.withColumn("component", F.coalesce("component", "node")))
     sizes = where.groupBy("component").agg(F.count(F.lit(1)).alias("target_m")).withColumnRenamed("component", "target")
-    members = lists.join(where, "node")
+    members = lists.join(where.drop("n"), "node")
     counts = members.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
     split = counts.groupBy("value").agg(
         F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("n_components")
@@ -325,28 +384,32 @@ def remaining_links(
     split = split.where("n_components > 1").select("value", "m", F.col("most.component").alias("target")).join(sizes, "target")
     rows = durable(members.join(split, "value").withColumn("seeks", F.col("component") != F.col("target")))
     minor = rows.where(F.col("seeks") & (F.col("target_m") >= large)).select("node", "component", "target")
-    first = durable(component_links(minor, where, sets, block, bucket))
-    candidates = listed_pairs(rows.where(F.col("target_m") < large), classes, lists, k, shared, block, bucket)
-    return first.unionByName(verified(durable(candidates), sets))
+    first = durable(component_links(minor, where, sets, k, shared, block, values))
+    candidates = listed_pairs(rows.where(F.col("target_m") < large), classes, lists, k, shared, block // 4, bucket)
+    return first.unionByName(verified(durable(candidates), sets, k, shared))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: int = SHARED, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = durable(
-        texts.mapInArrow(_sketches(width, k), "doc_id long, n_shingles long, set_key binary, sketch array<long>")
+        texts.mapInArrow(_sketches(width, k), "doc_id long, text_hash long, n_shingles long, set_key binary, sketch array<long>")
     )
+    least = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")  # the row whose text stands for the class
     classes = durable(
         rows.where(F.col("set_key").isNotNull())
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(F.min(least).alias("r"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        .select("set_key", "n", "sketch", "r.doc_id", "r.text_hash", F.monotonically_increasing_id().alias("node"))
+    )
+    lists = durable(inverted_lists(classes, k, shared))
+    wanted = lists.select("node").distinct().join(classes, "node").select(
+        "node", "set_key", F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash")
     )
-    known = classes.where(F.col("node").isNotNull())
-    lists = durable(inverted_lists(known, k, shared))
-    wanted = lists.select("node").distinct().join(known.select("node", "set_key"), "node")
+    found = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash"))
     sets = durable(
-        texts.join(wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["node"])
-        .select("doc_id", "set_key", "text")
+        texts.join(wanted.hint("shuffle_hash"), found)
+        .select("node", "set_key", "text")
         .mapInArrow(_full_sets(width), "node long, full array<long>")
     )
     pending = durable(pivot_pairs(lists))
@@ -358,18 +421,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: in
             ends = pending.groupBy("u").agg(F.min(order).alias("a"), F.max(order).alias("b"))
             todo = ends.select("u", F.explode(F.array_distinct(F.array("a.v", "b.v"))).alias("v"))
         todo = durable(todo)
-        found = verified(todo, sets)
+        found = verified(todo, sets, k, shared)
         links = durable(found if links is None else links.unionByName(found))
         comps = durable(components(links))
         pending = durable(_apart(pending.join(todo, ["u", "v"], "left_anti"), comps))
         if pending.isEmpty():
             break
-    late = durable(remaining_links(lists, comps, known, sets, k, shared))
+    late = durable(remaining_links(lists, comps, classes, sets, k, shared))
     if not late.isEmpty():
         comps = durable(components(links.unionByName(late)))
-    by_set = classes.join(comps, "node", "left").select(
-        "set_key", F.coalesce("component", "node").alias("component_id")
-    )
+    labels = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_set = labels.select("set_key", "component").join(ids, "component").select("set_key", "component_id")
     found = rows.join(by_set, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select(
