@@ -26,13 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: With this, Spark removes a query's shuffle files when the query is over. Else they stay as long as the checkpointed DataFrame.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; the shuffles behind it are freed."""
     spark = df.sparkSession
     shared_folder(spark)
-    kept = df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP, None)
+    if before is None:  # a Spark without the setting
+        kept = df.checkpoint(eager=True)
+    else:
+        spark.conf.set(CLEANUP, "true")
+        try:
+            kept = df.select("*").checkpoint(eager=True)  # a query takes the setting it was made under
+        finally:
+            spark.conf.set(CLEANUP, before)
     del df
-    # The shuffles behind it are of no more use; Spark drops their files once both sides have let go of the plan.
+    # Checkpoints that nothing refers to any more go when both sides have let go of them.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return kept
