@@ -29,9 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
     outnumber the edges, and hot centres are met by joins and minima that Spark
     can split or combine early.
     """
-    now = durable(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    )
+    # Spark's checkpoints break on unions of columns of which only one can be null, so here both can.
+    whole = F.col("u").isNotNull() & F.col("v").isNotNull()
+    ends = edges.select(F.when(whole, F.greatest("u", "v")).alias("u"), F.when(whole, F.least("u", "v")).alias("v"))
+    now = durable(ends.where("u > v").distinct())
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(now)
     while before[0]:
