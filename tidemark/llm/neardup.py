@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: in
         rows.where(F.col("set_key").isNotNull())
         .groupBy("set_key")
         .agg(F.min(least).alias("r"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-        .select("set_key", "n", "sketch", "r.doc_id", "r.text_hash", F.monotonically_increasing_id().alias("node"))
+        .select("set_key", "n", "sketch", "r.doc_id", "r.text_hash", F.when(F.col("n") > 0, F.monotonically_increasing_id()).alias("node"))
     )
     lists = durable(inverted_lists(classes, k, shared))
     wanted = lists.select("node").distinct().join(classes, "node").select(

@@ -7,14 +7,20 @@ its first occurrence (``window >= 2 * block - 1``).
 1. Anchors: hashes of the non-overlapping blocks. Probes: hashes of every rolling
    window of ``block`` words. Both go, as packed arrays, to the bucket of their
    hash; a bucket finds the hashes that are an anchor in one document and are met
-   in another, and answers each document with those it holds.
+   in another, and answers with those each document holds.
 2. Extension: in each document, windows around a hit are the only ones that can
-   repeat. They are hashed in full (64 bits), their smallest doc_id is found, and
+   repeat. Each is extended from its hit to all of its words by a fingerprint of two
+   independent 64-bit hashes; the smallest doc_id with the same fingerprint is found, and
    neighbouring windows of an earlier document merge into maximal repeats, whose
    words go.
 
-The bucket filter may err on the safe side (short hashes), the second step is
-exact. A bucket holds about ``bucket_size`` probes. What the documents of one task
+The bucket filter may err on the safe side (short hashes). The second step compares
+128-bit fingerprints instead of the words themselves, which would have to be sent for
+every hit: it errs if two different windows agree in both hashes.
+
+A bucket holds about ``bucket_size`` probes. Answers are packed by the part of the
+documents (a hash of doc_id) they go to, one row for each bucket and part that has any,
+and each part unpacks one row a document. What the documents of one task
 share is told there, so a passage held by a third of all documents sends one entry
 a task; no document is paired with another.
 
@@ -37,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary, durable, window_hashes, word_hashes
+from .common import WordHash, binary, durable, hand_back, mix, window_hashes, word_hashes
 
 WINDOW = 13
 BLOCK = 7
@@ -51,12 +57,14 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
 
 
-def _grouped(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order by hash, number of its run for each place in that order, least and greatest doc_id of each run)."""
-    order = np.argsort(h, kind="stable")
-    starts = _runs(h[order])
+def _grouped(doc: np.ndarray, *h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hashes, number of its run for each place in that order, least and greatest doc_id of each run)."""
+    order = np.argsort(h[0], kind="stable") if len(h) == 1 else np.lexsort(h[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in h], axis=0)
+    starts = np.flatnonzero(new)
     ids = doc[order]
-    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+    run = np.cumsum(new) - 1
     return order, run, np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
 
 
@@ -103,7 +111,7 @@ def _deal_probes(doc: np.ndarray, place: np.ndarray, h: np.ndarray, block: int,
 
     So a hash that very many documents hold sends one probe a task.
     """
-    order, run, least, greatest = _grouped(h, doc)
+    order, run, least, greatest = _grouped(doc, h)
     anchors = np.zeros(len(least), dtype=bool)
     anchors[run[place[order] % block == 0]] = True
     shared = np.zeros(len(h), dtype=bool)
@@ -144,6 +152,9 @@ def _probes(block: int, buckets: int):
                     ids, hashes, waiting = [], [], 0
         if ids:
             yield deal()
+        table.clear()
+        del ids, hashes
+        hand_back()
 
     return run
 
@@ -156,30 +167,51 @@ def _documents(rows: pd.DataFrame) -> np.ndarray:
     return np.repeat(_joined(rows, "ids", np.int64), _joined(rows, "counts", np.uint32))
 
 
-def _answer(doc: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-    if not len(doc):
-        return pd.DataFrame({"doc_id": np.empty(0, np.int64), "found": []})
-    starts = _runs(doc)
-    return pd.DataFrame({"doc_id": doc[starts], "found": [x.tobytes() for x in np.split(values, starts[1:])]})
+PACKED = ["part", "ids", "counts", "values"]
+PACKED_SCHEMA = "part int, ids binary, counts binary, values binary"
+
+
+def _answer(doc: np.ndarray, values: np.ndarray, parts: int) -> pd.DataFrame:
+    """A row for each part that the documents (in ascending runs) belong to."""
+    part = (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((doc, part))
+    rows = []
+    if len(doc):
+        starts = _runs(part[order])
+        for at in np.split(order, starts[1:]):
+            rows.append((int(part[at[0]]), *_by_document(doc[at], values[at])))
+    return pd.DataFrame(rows, columns=PACKED)
+
+
+def _unpacker(kind: type):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """doc_id, found: one row for each document of a part."""
+        doc, values = _documents(rows), _joined(rows, "values", kind)
+        order = np.argsort(doc, kind="stable")
+        doc, values = doc[order], values[order]
+        starts = _runs(doc)
+        return pd.DataFrame({"doc_id": doc[starts], "found": [x.tobytes() for x in np.split(values, starts[1:])]})
+
+    return run
 
 
-def _answer_probes(rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents of a bucket with the hashes that are an anchor and are met in another document."""
+def _answer_probes(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of a bucket and the hashes that are an anchor and are met in another document."""
     doc, low = _documents(rows), _joined(rows, "values", np.uint32)
     flags = np.concatenate(
         [np.unpackbits(np.frombuffer(a, np.uint8), count=len(x) // 4) for a, x in zip(rows["more"], rows["values"], strict=True)]
     )
-    order, run, least, greatest = _grouped(low, doc)
+    order, run, least, greatest = _grouped(doc, low)
     anchors = np.zeros(len(least), dtype=bool)
     anchors[run[flags[order] > 0]] = True
     hit = np.zeros(len(low), dtype=bool)
     hit[order] = ((least != greatest) & anchors)[run]
-    return _answer(doc[hit], low[hit])
+    return doc[hit], low[hit]
 
 
-def _deal_windows(doc: np.ndarray, place: np.ndarray, full: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Windows of each hash's first document in the task for its bucket; later documents lose theirs at once."""
-    order, run, least, _ = _grouped(full, doc)
+def _deal_windows(doc: np.ndarray, place: np.ndarray, full: np.ndarray, more: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Windows of each fingerprint's first document in the task for its bucket; later documents lose theirs at once."""
+    order, run, least, _ = _grouped(doc, full, more)
     late = np.zeros(len(full), dtype=bool)
     late[order] = doc[order] > least[run]
     rows = []
@@ -188,7 +220,7 @@ def _deal_windows(doc: np.ndarray, place: np.ndarray, full: np.ndarray, buckets:
     early = np.flatnonzero(~late)
     for bucket, at in _per_bucket(full[early], buckets):
         at = early[at]
-        rows.append((bucket, *_by_document(doc[at], place[at]), full[at].tobytes()))
+        rows.append((bucket, *_by_document(doc[at], place[at]), full[at].tobytes() + more[at].tobytes()))
     return _rows(rows)
 
 
@@ -201,49 +233,54 @@ def _candidates(window: int, block: int, buckets: int):
         for batch in batches:
             for doc, raw, hits in zip(batch.column(0).to_pylist(), binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 h = word_hashes(raw.split(), table)
-                wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in hits]))
+                wanted = np.unique(np.frombuffer(hits, np.uint32))
                 low = window_hashes(h, block).astype(np.uint32)
                 near = np.concatenate([[0], np.cumsum(np.isin(low, wanted))])
                 n = len(h) - window + 1
                 span = window - block + 1  # blocks in a window
                 place = np.flatnonzero(near[span : span + n] > near[:n]) if n > 0 else np.empty(0, np.int64)
                 if len(place):
-                    found.append((np.full(len(place), doc, dtype=np.int64), place.astype(np.int32), window_hashes(h, window, seed=1)[place]))
+                    prints = (window_hashes(x, window, seed=1)[place] for x in (h, mix(h)))
+                    found.append((np.full(len(place), doc, dtype=np.int64), place.astype(np.int32), *prints))
                     waiting += len(place)
                 if waiting >= BATCH:
                     yield _deal_windows(*map(np.concatenate, zip(*found, strict=True)), buckets)
                     found, waiting = [], 0
         if found:
             yield _deal_windows(*map(np.concatenate, zip(*found, strict=True)), buckets)
+        del table, found
+        hand_back()
 
     return run
 
 
-def _answer_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Places of the windows of a bucket that also start in a document of smaller doc_id."""
-    doc, place, full = _documents(rows), _joined(rows, "values", np.int32), _joined(rows, "more", np.uint64)
-    order, run, least, _ = _grouped(full, doc)
+def _answer_windows(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and places of the windows of a bucket that also start in a document of smaller doc_id."""
+    doc, place = _documents(rows), _joined(rows, "values", np.int32)
+    prints = [np.split(np.frombuffer(x, np.uint64), 2) for x in rows["more"]]
+    full, more = (np.concatenate(x) for x in zip(*prints, strict=True))
+    order, run, least, _ = _grouped(doc, full, more)
     late = np.zeros(len(full), dtype=bool)
     late[order] = doc[order] > least[run]
-    return _answer(doc[late], place[late])
+    return doc[late], place[late]
 
 
-def _answers(answer, kind: type):
+def _answers(answer, kind: type, parts: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         told = rows["more"].isna()
-        parts = [answer(rows[~told])] if not told.all() else []
-        parts += [_answer(_documents(rows[told]), _joined(rows[told], "values", kind))] if told.any() else []
-        return pd.concat(parts)
+        found = [answer(rows[~told])] if not told.all() else []
+        found += [(_documents(rows[told]), _joined(rows[told], "values", kind))] if told.any() else []
+        return _answer(*map(np.concatenate, zip(*found, strict=True)), parts)
 
     return run
 
 
-def _exchange(parts: DataFrame, buckets: int, answer, kind: type) -> DataFrame:
+def _exchange(rows: DataFrame, buckets: int, answer, kind: type) -> DataFrame:
     """doc_id, found: what the tasks told and what the buckets answer, gathered for each document."""
-    answers = parts.repartition(2 * buckets, "bucket").groupBy("bucket").applyInPandas(
-        _answers(answer, kind), "doc_id long, found binary"
+    packed = rows.repartition(2 * buckets, "bucket").groupBy("bucket").applyInPandas(
+        _answers(answer, kind, buckets), PACKED_SCHEMA
     )
-    return answers.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    return packed.groupBy("part").applyInPandas(_unpacker(kind), "doc_id long, found binary")
 
 
 def _cut(window: int):
@@ -254,7 +291,7 @@ def _cut(window: int):
                 words = raw.split() if raw else []
                 n = len(words)
                 if places and n >= window:
-                    starts = np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in places]))
+                    starts = np.unique(np.frombuffer(places, np.int32))
                     depth = np.zeros(n + 1, dtype=np.int32)
                     starts = starts[starts + window <= n]
                     depth[starts] += 1
@@ -273,7 +310,7 @@ def _cut(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bucket_size: int = BUCKET) -> DataFrame:
-    """doc_id, found: places (32-bit, in parts) of windows whose words also start in a document of smaller doc_id."""
+    """doc_id, found: places (32-bit) of windows whose words also start in a document of smaller doc_id."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it stands")
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
