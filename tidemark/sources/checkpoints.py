@@ -34,15 +34,12 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; the shuffles behind it are freed."""
     spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(CLEANUP, None)
-    if before is None:  # a Spark without the setting
-        kept = df.checkpoint(eager=True)
-    else:
-        spark.conf.set(CLEANUP, "true")
-        try:
-            kept = df.select("*").checkpoint(eager=True)  # a query takes the setting it was made under
-        finally:
-            spark.conf.set(CLEANUP, before)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        kept = df.select("*").checkpoint(eager=True)  # a query takes the setting it was made under
+    finally:
+        spark.conf.set(CLEANUP, before)
     del df
     # Checkpoints that nothing refers to any more go when both sides have let go of them.
     gc.collect()
