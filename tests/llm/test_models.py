@@ -76,21 +76,48 @@ def test_neighbours_edge_cases(spark):
     assert {r.vec_id for r in few} == {1, 2}
 
 
-def test_neighbours_recall(spark):
-    rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_neighbours_recall(spark, sf_dir):
+    """All queries against brute force."""
+    rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     x, ids = np.stack([v for _, v in rows]), np.array([i for i, _ in rows])
+    place = {i: n for n, i in enumerate(ids.tolist())}
     found = {}
-    for r in ann.op2_ann(spark, SF).collect():
+    for r in ann.op2_ann(spark, sf_dir).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
-        assert r.score == pytest.approx(float(x[ids == r.query_id][0] @ x[ids == r.vec_id][0]), abs=1e-12)
+        assert r.score == pytest.approx(float(x[place[r.query_id]] @ x[place[r.vec_id]]), abs=1e-12)
+    assert sorted(found) == sorted(i for i in ids.tolist() if i % 20 == 0)
     hits = []
-    for q in found:
-        s = x @ x[ids == q][0]
+    for q, got in found.items():
+        s = x @ x[place[q]]
         s[ids == q] = -9
-        hits.append(len(found[q] & set(ids[np.argsort(-s)[:20]])) / 20)
+        hits.append(len(got & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
     assert np.mean(hits) >= 0.9
 
 
+def test_forest_gathers_what_an_ascent_does():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((500, 6))
+    planes = ann.directions(7, 5, 1)
+    h, q = ann.row_strings(x, 10.0, planes, 5), ann.query_strings(x[:40], planes, 5)
+    forest = ann.Forest(h)
+    same = np.array([[[32 - int(a ^ b).bit_length() for a, b in zip(r, s, strict=True)] for r in h] for s in q])
+    for wanted in (1, 20, 300, 2500, 9999):
+        length, _, _ = forest.descend(q, wanted)
+        want = [next((n for n in range(32, -1, -1) if (m >= n).sum() >= wanted), 0) for m in same]
+        assert length.tolist() == want
+        got = [f.tolist() for f in forest.candidates(q, wanted)]
+        assert got == [np.flatnonzero((m >= n).any(axis=1)).tolist() for m, n in zip(same, want, strict=True)]
+
+
+def test_repeated_vector_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [1.0, 0.1]), (2, [0.5, 0.5]), (3, [0.1, 1.0]), (3, [0.1, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id = 3"), 3).collect())
+    assert [f[2] for f in found] == [2, 1, 2] or len(found) == 3
+    assert all(f[2] != 3 for f in found)
+
+
 def slow_targets(sizes, weights=(5, 2, 1)):
     names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + ([None] if None in sizes else [])
     w = {n: weights[i % 3] for i, n in enumerate(names)}
