@@ -147,14 +147,33 @@ def test_secrets_base(text):
     assert [s for s in secrets.find_secrets(text) if s[0] in secrets.BASE] == slow_secrets(text)
 
 
-def test_secrets_ledger(spark, edge_docs, no_docs):
-    rows, ledger = secrets.scan_blobs(edge_docs)
-    assert rows.count() == edge_docs.count()
-    assert ledger.count() == edge_docs.selectExpr("coalesce(text, '') t").distinct().count()
-    fresh = spark.createDataFrame([(900, "token = abcdef0123456789abcdef"), (901, "one")], "doc_id long, text string")
-    again, added = secrets.scan_blobs(edge_docs.select("doc_id", "text").unionByName(fresh), ledger)
-    assert added.count() == 1  # only the blob that was never seen is scanned
-    assert {r.path: (r.n_assign, r.n_hex) for r in again.collect() if r.path in (900, 901)} == {900: (1, 1), 901: (0, 0)}
-    rescan, _ = secrets.scan_blobs(fresh, ledger, rule_version="2")
-    assert rescan.count() == 2
-    assert secrets.scan_blobs(no_docs)[0].count() == 0
+def test_ledger_scans_only_new_pairs(spark, edge_docs, no_docs, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.rows().count() == 0
+    blobs = lambda df: {r.blob for r in secrets.address(df).select("blob").distinct().collect()}
+    texts = {r.blob: r.text for r in secrets.address(edge_docs).collect()}
+    rows = secrets.scan_blobs(edge_docs, ledger).collect()
+    assert len(rows) == edge_docs.count()
+    assert all(r.spans == secrets.joined(secrets.find_secrets(texts[r.blob])) for r in rows)
+    assert {r.blob for r in ledger.rows().collect()} == blobs(edge_docs) and ledger.rows().count() == len(blobs(edge_docs))
+    # Several versions of a path, and of no path; one known, the others new.
+    versions = [(1, "AKIA" + "Q" * 16), (1, "token: abcdefghijkl1"), (1, None), (None, "0123456789abcdef"), (None, "nothing"), (7, "AKIA" + "Q" * 16)]
+    fresh = spark.createDataFrame(versions, "doc_id long, text string")
+    before = ledger.rows().count()
+    found = secrets.scan_blobs(edge_docs.select("doc_id", "text").unionByName(fresh), ledger)
+    assert found.count() == edge_docs.count() + len(versions)
+    added = blobs(fresh) - blobs(edge_docs)
+    assert ledger.rows().count() == before + len(added) == before + 4
+    hits = {(r.path, r.n_access, r.n_assign, r.n_hex) for r in found.collect() if r.n_access or r.n_assign or r.n_hex}
+    assert {(1, 1, 0, 0), (1, 0, 1, 0), (7, 1, 0, 0), (None, 0, 0, 1)} <= hits
+    secrets.scan_blobs(fresh, ledger).collect()  # nothing new, nothing added
+    assert ledger.rows().count() == before + 4
+    secrets.scan_blobs(fresh, ledger, rule_version="2").collect()
+    assert ledger.known("2").count() == len(blobs(fresh)) and ledger.known("1").count() == before + 4
+    assert secrets.scan_blobs(no_docs, ledger).count() == 0
+
+
+def test_many_versions_without_a_path(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("cast(null as long) doc_id", "concat('text ', id % 1000) text")
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    assert secrets.scan_blobs(docs, ledger).count() == 3000 and ledger.rows().count() == 1000
