@@ -247,26 +247,40 @@ def test_url_cascade_is_exact(spark):
     keys = [(f"host{i}.net", i % 7 == 0) for i in range(3000)]
     universe = spark.createDataFrame(keys, "key string, listed boolean")
     levels = urls.build_cascade(universe)
-    from pyspark.sql import functions as F
-
     wrong = universe.where(urls.listed(F.col("key"), levels) != F.col("listed")).count()
     assert len(levels) > 1 and wrong == 0
-    assert urls.build_cascade(universe, max_bits=64) is None
     assert urls.build_cascade(universe.where("not listed")) == []
+    rows = universe.select("key").unionByName(universe.select("key")).withColumn("shard", F.lit("x"))
+    for max_bits in (1 << 24, 1000):  # one cascade, and five shards
+        got = urls.with_membership(rows.drop("shard"), universe.where("listed").select("key"), max_bits)
+        assert sorted((r.key, r.listed) for r in got.collect()) == sorted(2 * keys)
+
+
+def test_url_cascade_on_pages_equals_a_join(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    list_ = urls.listed_by_words(pages)
+    universe = urls.key_universe(urls.parsed(pages), list_).checkpoint()
+    levels = urls.build_cascade(universe)
+    assert len(levels) >= 3 and universe.where(urls.listed(F.col("key"), levels) != F.col("listed")).count() == 0
+    rows = urls.parsed(pages)
+    joined = rows.join(list_.withColumn("l", F.lit(True)), "key", "left").select("page_id", F.coalesce("l", F.lit(False)).alias("listed"))
+    got = urls.with_membership(rows, list_, max_bits=3000).select("page_id", "listed")
+    assert got.exceptAll(joined).isEmpty() and joined.exceptAll(got).isEmpty() and got.where("listed").count() > 50
 
 
 def test_url_edge_cases(spark):
     rows = [(0, None), (1, ""), (2, "no scheme"), (3, "http://"), (4, "http://ORG/x"), (5, "https://a.Example.ORG/en/12?q"), (6, "x://spam.net#f"), (7, "http://b.com/fr/"), (8, "http://bcom/fr/"), (9, "http://example.org"), (9, "http://example.org"), (10, "a://b://c.com/de/")]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in rows], "page_id long, url string, host string, rule string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.url_filter(pages).collect()}
+    list_ = urls.listed_by_words(pages).unionByName(spark.createDataFrame([(None,), ("elsewhere.net/",)], "key string"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.url_filter(pages, list_).collect()}
     assert got == {
         0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"),
         4: ("org", "/x", "org/", "allow"), 5: ("a.example.org", "/en/12", "example.org/en/1", "block"), 6: ("spam.net", "", None, "block"),
         7: ("b.com", "/fr/", "com/fr/", "allow"), 8: ("bcom", "/fr/", None, "allow"), 9: ("example.org", "", None, "allow"),
         10: ("b:", "//c.com/de/", None, "allow"),
     }
-    joined = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.url_filter(pages, max_bits=1).collect()}
-    assert joined == got and urls.url_filter(pages.limit(0)).count() == 0
+    assert {r.verdict for r in urls.url_filter(pages.where("page_id = 6"), list_.limit(0)).collect()} == {"allow"}
+    assert urls.url_filter(pages.limit(0), list_.limit(0)).count() == urls.url_filter(pages.limit(0), list_).count() == 0
 
 
 def test_url_sql(spark):

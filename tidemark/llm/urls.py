@@ -1,28 +1,35 @@
 """URL filter: host and path rules, then a Bloom filter cascade (operator 9). Built-in functions only.
 
 A rule names a host, with its subdomains, and a path prefix; the longest rule that
-fits decides. Elsewhere the verdict is block exactly if the url's host is listed.
+fits decides. Elsewhere the verdict is block exactly if the url's key, its host and path, is in the
+table of listed keys.
 
-The cascade answers that without a join. Level 1 holds the listed hosts; level 2
-the other hosts of the corpus that level 1 wrongly finds; level 3 the listed ones
+The cascade answers that without a join. The universe is every key of the corpus and of the list. Level 1 holds the listed keys; level 2
+the other keys of the universe that level 1 wrongly finds; level 3 the listed ones
 that level 2 wrongly finds; and so on until nothing is wrongly found. Over the
 complete key universe it was built from, it answers exactly. Levels shrink
 geometrically. Each is an array of words held as a constant in the plan, so its
-size is checked: beyond ``max_bits`` bits for a level the listed hosts are joined
-instead (with the same result).
+size is bounded: lists of more than ``max_bits`` bits are cut into shards by a hash of the key, pages and
+universe are written to the shared folder by shard, and every shard has a cascade of its own
+that is built and asked alone. So no list is too large for the plan or the driver.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no
-rule and is allowed; an empty list allows every host; repeated rows are judged
+rule and is allowed unless the empty key is listed; null keys in the list are ignored; an empty list allows every url; repeated rows are judged
 each; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from .common import durable, shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host with path), as the contract of the query has them.
@@ -33,8 +40,8 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: A host is listed if one of its labels holds one of these words.
-SPAM_WORDS = ("spam", "pills", "casino", "free-money", "adult")
+#: The list of the query: urls whose host has one of these words between dots and dashes.
+LISTED_WORDS = ("ads", "adult", "bet", "bets", "casino", "escort", "gambling", "pills", "poker", "porn", "spam", "viagra", "xxx")
 BITS_PER_KEY = 10
 HASHES = 4
 
@@ -92,8 +99,8 @@ def _found(key: Column, level: int, filt: Level) -> Column:
     return hit
 
 
-def build_cascade(universe: DataFrame, max_bits: int = 1 << 22, max_levels: int = 40) -> list[Level] | None:
-    """Levels for the distinct rows (key, listed) of the whole universe; None if one would be too large."""
+def build_cascade(universe: DataFrame, max_levels: int = 60) -> list[Level]:
+    """Levels for the distinct rows (key, listed) of a whole universe."""
     levels: list[Level] = []
     holds = F.col("listed")
     pending = universe
@@ -102,8 +109,8 @@ def build_cascade(universe: DataFrame, max_bits: int = 1 << 22, max_levels: int
         n = inside.count()
         if not n:
             return levels
-        if n * BITS_PER_KEY > max_bits or len(levels) >= max_levels:
-            return None
+        if len(levels) == max_levels:  # a level wrongly finds a fiftieth of what is not in it: this is never reached
+            raise RuntimeError(f"{n} keys are left after {max_levels} levels")
         levels.append(_build(inside, len(levels), n))
         # What this level finds: its own keys, rightly, and others that the next level must hold.
         pending = pending.where(_found(F.col("key"), len(levels) - 1, levels[-1]))
@@ -117,37 +124,59 @@ def listed(key: Column, levels: list[Level]) -> Column:
     return answer
 
 
-def spam_host(host: Column, words=SPAM_WORDS) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | host.contains(w)
-    return out
+def key_universe(keys: DataFrame, list_: DataFrame) -> DataFrame:
+    """key, listed: every key of either table once."""
+    every = keys.select("key", F.lit(False).alias("listed")).unionByName(list_.select("key", F.lit(True).alias("listed")))
+    return every.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("listed").alias("listed"))
+
+
+def with_membership(rows: DataFrame, list_: DataFrame, max_bits: int = 1 << 24) -> DataFrame:
+    """``rows`` with ``listed``: whether their ``key`` (not null) is a key of ``list_``."""
+    universe = durable(key_universe(rows, list_))
+    shards = max(1, -(-universe.where("listed").count() * BITS_PER_KEY // max_bits))
+    if shards == 1:
+        return rows.withColumn("listed", listed(F.col("key"), build_cascade(universe)))
+    folder = f"{shared_folder(rows.sparkSession)}/cascade-{uuid.uuid4().hex}"
+    shard = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(shards)).cast("int")
+    parts = {}
+    for name, df in (("rows", rows), ("universe", universe)):
+        df.withColumn("shard", shard).write.partitionBy("shard").parquet(f"{folder}/{name}")
+        stored = rows.sparkSession.read.schema(StructType([*df.schema.fields, StructField("shard", IntegerType())]))
+        parts[name] = stored.parquet(f"{folder}/{name}")
+    judged = []
+    for k in range(shards):
+        mine, keys = (parts[name].where(F.col("shard") == k).drop("shard") for name in ("rows", "universe"))
+        judged.append(durable(mine.withColumn("listed", listed(F.col("key"), build_cascade(keys)))))
+    return reduce(DataFrame.unionByName, judged)
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, host, path and key, the two together."""
+    host, path = host_and_path(F.col("url"))
+    return pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
 
 
-def url_filter(pages: DataFrame, rules=RULES, words=SPAM_WORDS, max_bits: int = 1 << 22) -> DataFrame:
-    """page_id, host, path, rule, verdict."""
-    host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = rows.select(F.col("host").alias("key")).distinct().withColumn("listed", spam_host(F.col("key"), words))
-    levels = build_cascade(universe, max_bits)
-    if levels is None:
-        names = universe.where("listed").select(F.col("key").alias("host"), "listed")
-        rows = rows.join(names, "host", "left")
-        bad = F.coalesce(F.col("listed"), F.lit(False))
-    else:
-        bad = listed(F.col("host"), levels)
+def url_filter(pages: DataFrame, list_: DataFrame, rules=RULES, max_bits: int = 1 << 24) -> DataFrame:
+    """page_id, host, path, rule, verdict; ``list_`` has the listed keys (host and path) in its column ``key``."""
+    rows = with_membership(parsed(pages), list_, max_bits)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     return rows.select(
         "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
     )
 
 
+def listed_by_words(pages: DataFrame, words=LISTED_WORDS) -> DataFrame:
+    """The keys of the pages on hosts with one of ``words``: a list for the query."""
+    rows = parsed(pages)
+    return rows.where(F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, words)))).select("key").distinct()
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter(pages, listed_by_words(pages))
 
 
-_SPAM_SQL = " OR ".join(f"contains(host, '{w}')" for w in SPAM_WORDS)
 OP9_SQL = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
@@ -169,7 +198,7 @@ WITH cut AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block'
   WHEN rule IS NOT NULL THEN 'allow'
-  WHEN {_SPAM_SQL} THEN 'block' ELSE 'allow' END AS verdict
+  WHEN list_has_any(string_split_regex(host, '[.-]'), {list(LISTED_WORDS)}) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
 
