@@ -31,6 +31,57 @@ def test_language_edge_cases(spark, edge_docs, no_docs):
     assert language.grams("\U0001f600 \U00010400") is not None and language.grams("12 --") is None
 
 
+def bound(gram):
+    a, b, c = (language.letter(p).astype(int) for p in gram)
+    return np.roll(a, 2) * np.roll(b, 1) * c
+
+
+def slow_grams(text):
+    """Three-letter grams around each letter, runs of other characters being one gap."""
+    letters = [0]
+    for ch in text or "":
+        x = ord(ch.lower()[0]) if ch.isalpha() else 0
+        if x or letters[-1]:
+            letters.append(x)
+    letters += [0]
+    return [tuple(letters[i - 1 : i + 2]) for i in range(1, len(letters) - 1) if letters[i]]
+
+
+def slow_bundle(text):
+    return sum(bound(g) for g in slow_grams(text))
+
+
+def test_language_by_bound_and_bundled_vectors(spark):
+    """Predictions against explicit gram vectors, in one block of languages and in several; each script's letters count."""
+    texts = {
+        "en": ["the cat and the dog", "this is that thing there"], "de": ["der hund und die katze", "das ist ein ding dort"],
+        "ru": ["кошка и собака", "это вещь там"], "uk": ["кішка і собака є", "це річ там її"], "el": ["η γάτα και ο σκύλος"], "zh": ["猫和狗在这里", "这是一个东西"],
+    }
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    rows = [(next(j for j in range(100 * i, 100 * i + 100) if zlib.crc32(str(j).encode()) % 3 != 1), t, lang) for i, t, lang in rows]
+    asked = [(90001, "the thing and that dog"), (90002, "собака там"), (90003, "річ її є"), (90004, "狗在这"), (90005, "σκύλος"), (90006, "hund dort"), (90007, "12 !"), (90008, "þ")]
+    docs = spark.createDataFrame([*rows, *((i, t, None) for i, t in asked)], "doc_id long, text string, lang string")
+    bundles = {}
+    for lang, ts in texts.items():
+        bundles[lang] = sum(slow_bundle(t) / len(slow_grams(t)) for t in ts) / len(ts)
+    middle = sum(bundles.values()) / len(bundles)
+    protos = {k: (v - middle) / np.linalg.norm(v - middle) for k, v in sorted(bundles.items())}
+    for size in (1000, 2):
+        got = {r.doc_id: r for r in language.identify(docs, ["doc_id", "text"], size).collect()}
+        for i, t in asked:
+            if not slow_grams(t):
+                assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+                continue
+            counts = np.unique(np.array(slow_grams(t)), axis=0, return_counts=True)[1]
+            c = {k: float(slow_bundle(t) @ p) / np.sqrt(language.DIMENSIONS * (counts**2).sum()) for k, p in protos.items()}
+            assert got[i].lang_pred == max(c, key=c.get)
+            odds = np.exp(20 * (np.array(list(c.values())) - max(c.values())))
+            assert got[i].score == pytest.approx(1 / odds.sum(), rel=1e-4)
+            assert np.linalg.norm(slow_bundle(t)) == pytest.approx(np.sqrt(language.DIMENSIONS * (counts**2).sum()), rel=0.2)
+    want = {90001: "en", 90002: "ru", 90003: "uk", 90004: "zh", 90005: "el", 90006: "de"}
+    assert {i: got[i].lang_pred for i in want} == want
+
+
 def test_keep_identified_drops_only_texts_without_a_letter(edge_docs, no_docs):
     def lettered(docs):
         return sorted(((r.doc_id, r.text, r.source, r.n_chars) for r in docs.collect() if any(c.isalpha() for c in r.text or "")), key=repr)
