@@ -1,6 +1,7 @@
 """Quality counts, personal data and secrets against plain readings of their definitions."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -71,6 +72,42 @@ def test_quality_drops_junk_that_is_common_in_a_source(spark, n_junk):
     assert {r.doc_id for r in quality.quality_filter(docs).where("kept").collect()} == set(range(300))
 
 
+def slow_quantile(values, p):
+    """The value of the cell of the smallest value with that share of all below or at it."""
+    v = sorted(values)
+    x = max(v[max(0, math.ceil(p * len(v) - 1e-9) - 1)], quality.LEAST)
+    cell = math.ceil(math.log(x) / math.log(quality.GROWTH))
+    return 0.0 if cell <= math.ceil(math.log(quality.LEAST) / math.log(quality.GROWTH)) else quality.GROWTH**cell * 2 / (1 + quality.GROWTH)
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    """Fences and verdicts from plain quantiles; the same in any order and partitioning."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    runs = [sorted(map(tuple, quality.quality_filter(d, min_group=30).collect()), key=repr) for d in (docs, docs.repartition(7).orderBy("n_chars"))]
+    assert runs[0] == runs[1]
+    floors = {"symbol_ratio": 0.005, "line_ratio": 0.03, "repeat_ratio": 0.05, "word_length": 0.5}
+    rows = quality.quality_filter(docs, min_group=30).collect()
+    groups = {}
+    for r in rows:
+        if not r.base_failed:
+            for key in ((r.lang, r.source), (r.lang,), ()):
+                groups.setdefault(key, []).append(r)
+    fences = {}
+    for key, members in groups.items():
+        for name, floor in floors.items():
+            x = [r[name] for r in members]
+            assert abs(slow_quantile(x, 0.5) - sorted(x)[math.ceil(len(x) / 2) - 1]) <= 0.0101 * slow_quantile(x, 0.5) + 1e-6
+            a, b, c = (slow_quantile(x, p) for p in (0.25, 0.5, 0.75))
+            fences[key, name] = (b + 6 * max(2 * (b - a), 0.1 * b, floor), a - 6 * max(c - a, floor))
+    for r in rows:
+        sound = not r.base_failed
+        for name in floors if sound else ():
+            key = next(k for k in ((r.lang, r.source), (r.lang,), ()) if len(groups.get(k, ())) >= 30)
+            hi, lo = fences[key, name]
+            sound &= r[name] <= hi * (1 + 1e-12) and (name != "word_length" or r[name] >= lo)
+        assert r.kept == sound
+
+
 def test_quality_labels(spark):
     """Labelled documents of sf0.01: the sound ones that pass the base rules stay, the junk goes."""
     sf = "/root/testdata/sf0.01"

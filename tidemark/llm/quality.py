@@ -1,8 +1,10 @@
 """Quality rules with thresholds from quantile sketches (operator 3).
 
-One pass takes the counts of a text. KLL sketches of four ratios are built for
+One pass takes the counts of a text. Quantile sketches of four ratios are built for
 each (language, source), merged up to each language and to the whole table, and
-the thresholds read from them are joined to the documents. A group with fewer
+the thresholds read from them are joined to the documents. A sketch is a histogram
+over cells that grow by a constant factor, so a quantile is right to ``ACCURACY`` of its value,
+sketches merge by adding their counts, and the same documents give the same thresholds in any order and partitioning. A group with fewer
 than ``min_group`` documents borrows its language's sketch, a small language
 the table's: sketches merge, so that costs no further pass.
 
@@ -13,11 +15,12 @@ table gives no rows; repeated rows are judged each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, binary, durable, window_hashes, word_hashes
@@ -27,6 +30,10 @@ SPACES = b" \t\n\r\x0b\x0c"
 TAILS = bytes(range(0x80, 0xC0))
 #: Upper fences are drawn for these; mean word length gets a lower one as well.
 RATIOS = ("symbol_ratio", "line_ratio", "repeat_ratio", "word_length")
+#: A sketch's quantiles are right to this share of their value; cells grow by a factor of GROWTH from LEAST on.
+ACCURACY = 0.01
+GROWTH = (1 + ACCURACY) / (1 - ACCURACY)
+LEAST = 1e-6
 #: A spread is at least this share of the median.
 RELATIVE = 0.1
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -101,48 +108,59 @@ def _ratios(counts: DataFrame) -> DataFrame:
     )
 
 
-def _fences(sketches: DataFrame, reach: float, floors: dict[str, float]) -> DataFrame:
-    """Upper (and lower) limit of each ratio from its sketch.
+def _cell(x: Column) -> Column:
+    """The sketch cell of a ratio; values below ``LEAST`` share one."""
+    return F.ceil(F.log(F.greatest(x, F.lit(LEAST))) / F.lit(math.log(GROWTH))).cast("int")
+
+
+def _value(cell: Column) -> Column:
+    """The value that stands for a cell, at most ``ACCURACY`` from all in it; zero for the lowest."""
+    lowest = math.ceil(math.log(LEAST) / math.log(GROWTH))
+    return F.when(cell <= lowest, F.lit(0.0)).otherwise(F.pow(F.lit(GROWTH), cell) * (2 / (1 + GROWTH)))
+
+
+def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ratio, cell, n: the sketches of the four ratios as rows, a few hundred for each key and ratio."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("ratio"), _cell(F.col(c)).alias("cell")) for i, c in enumerate(RATIOS)]))
+    return rows.select(*keys, each.alias("x")).groupBy(*keys, "x.ratio", "x.cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(cells: DataFrame, keys: list[str], at=(0.25, 0.5, 0.75)) -> DataFrame:
+    """keys, ratio, n and q25, q50, q75: for each sketch the value of the first cell with that share of the counts below or in it."""
+    merged = cells.groupBy(*keys, "ratio", "cell").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy(*keys, "ratio")  # a sketch, not the documents
+    upto = F.sum("n").over(of.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = merged.withColumns({"upto": upto, "total": F.sum("n").over(of), "value": _value(F.col("cell"))})
+    return ranked.groupBy(*keys, "ratio").agg(
+        F.max("total").alias("n"),
+        *[F.min(F.when(F.col("upto") >= F.lit(p) * F.col("total"), F.col("value"))).alias(f"q{round(100 * p)}") for p in at],
+    )
+
+
+def _fences(cells: DataFrame, keys: list[str], min_group: int, reach: float, floors: dict[str, float]) -> DataFrame:
+    """Upper (and lower) limit of each ratio from the sketches of ``min_group`` documents or more.
 
     Upper limits rest on the median and the lower quartile alone, so that junk
     does not move them while it is less than half of a group.
     """
-    out = {}
-    for name in RATIOS:
-        q = {
-            p: F.expr(f"kll_sketch_get_quantile_double({name}, {p}D)")
-            for p in (0.25, 0.5, 0.75)
-        }
-        spread = F.greatest(2 * (q[0.5] - q[0.25]), RELATIVE * q[0.5], F.lit(floors[name]))
-        out[f"{name}_hi"] = q[0.5] + reach * spread
-        if name == "word_length":
-            out[f"{name}_lo"] = q[0.25] - reach * F.greatest(q[0.75] - q[0.25], F.lit(floors[name]))
-    return sketches.select(
-        *[c for c in sketches.columns if c not in RATIOS], *[c.alias(n) for n, c in out.items()]
-    )
+    found = quantiles(cells, keys).where(F.col("n") >= min_group)
+    floor = F.element_at(F.array(*[F.lit(floors[r]) for r in RATIOS]), F.col("ratio") + 1)
+    spread = F.greatest(2 * (F.col("q50") - F.col("q25")), RELATIVE * F.col("q50"), floor)
+    low = F.col("q25") - reach * F.greatest(F.col("q75") - F.col("q25"), floor)
+    found = found.withColumns({"hi": F.col("q50") + reach * spread, "lo": low})
+    limits = {f"{r}_hi": ("hi", i) for i, r in enumerate(RATIOS)} | {"word_length_lo": ("lo", RATIOS.index("word_length"))}
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("ratio") == i, F.col(c))).alias(name) for name, (c, i) in limits.items()])
 
 
 def thresholds(
     rows: DataFrame, min_group: int, reach: float, floors: dict[str, float]
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fences of each (lang, source), each lang and of all documents that pass the base rules."""
-    sound = rows.where(~F.col("base_failed"))
-    groups = durable(
-        sound.groupBy("lang", "source").agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.expr(f"kll_sketch_agg_double({c})").alias(c) for c in RATIOS],
-        )
-    )
-    merged = [
-        F.sum("n").alias("n"),
-        *[F.expr(f"kll_merge_agg_double({c})").alias(c) for c in RATIOS],
-    ]
-    langs = groups.groupBy("lang").agg(*merged).where(F.col("n") >= min_group)
-    whole = groups.groupBy(F.lit(1).alias("one")).agg(*merged)
+    cells = durable(sketches(rows.where(~F.col("base_failed")), ["lang", "source"]))
     return (
-        _fences(groups.where(F.col("n") >= min_group), reach, floors),
-        _fences(langs, reach, floors),
-        _fences(whole, reach, floors),
+        _fences(cells, ["lang", "source"], min_group, reach, floors),
+        _fences(cells, ["lang"], min_group, reach, floors),
+        _fences(cells, [], 1, reach, floors),
     )
 
 
@@ -159,17 +177,16 @@ def quality_filter(
     median, at least the ratio's entry in ``floors`` and a tenth of the median)
     beyond the median a ratio may lie; word length may lie as many quartile
     distances below its lower quartile. Thresholds are
-    broadcast only while there are at most ``broadcast_groups`` groups; beyond
-    that they are joined by shuffle.
+    broadcast only while there are at most ``broadcast_groups`` rows of them, languages and groups
+    apart; beyond that they are joined by shuffle.
     """
     floors = floors or {
         "symbol_ratio": 0.005, "line_ratio": 0.03, "repeat_ratio": 0.05, "word_length": 0.5
     }
     rows = _ratios(durable(count_texts(docs)))
-    by_group, by_lang, whole = thresholds(rows, min_group, reach, floors)
+    by_group, by_lang, whole = map(durable, thresholds(rows, min_group, reach, floors))
     names = [f"{r}_hi" for r in RATIOS] + ["word_length_lo"]
-    small = by_group.limit(broadcast_groups + 1).count() <= broadcast_groups
-    near = F.broadcast if small else (lambda df: df)
+    near = lambda df: F.broadcast(df) if df.count() <= broadcast_groups else df
     key = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c))
     rows = rows.withColumns({"k_lang": key("lang"), "k_source": key("source")})
     for level, df, on in (
