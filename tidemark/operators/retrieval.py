@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,19 +41,77 @@ def dense(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int, places
     return top(scored.select("query", "item", "score"), ["query"], "score", "item", k)
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int, places: int = 6) -> DataFrame:
+def bm25(queries: DataFrame, corpus: DataFrame, k: int, places: int = 6, cells: int = 4_000_000) -> DataFrame:
     """Lexical top k over a whole corpus. queries: query, text; corpus: item, text.
 
     Repeated query tokens count each time; only positive scores are returned.
-    Term counts are kept for query tokens only, before anything is joined.
+    While queries times their distinct tokens are at most ``cells``, the query side
+    is sent to every task as a matrix of weights: documents are scored where they
+    lie, and only each task's best k of a query are shuffled. Beyond that, term
+    counts of query tokens are joined by token.
     """
     asked = (
         queries.select("query", F.explode(tokens(F.col("text"))).alias("token"))
         .groupBy("query", "token").agg(F.count(F.lit(1)).alias("qtf"))
     )
+    n_queries, n_tokens = asked.agg(F.count_distinct("query"), F.count_distinct("token")).first()
     words = corpus.select("item", tokens(F.col("text")).alias("t"))
-    sizes = words.select("item", F.size("t").alias("len"))
-    whole = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
+    whole = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))  # one row
+    if not n_queries or n_queries * n_tokens > cells:
+        return _bm25_joined(asked, words, whole, k, places)
+    wanted = F.broadcast(asked.select("token").distinct())  # at most ``cells`` rows
+    df = words.select(F.explode(F.array_distinct("t")).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rows = asked.join(df, "token").collect()  # at most ``cells`` rows
+    n_docs, avg_len = whole.first()
+    scored = words.mapInPandas(_scorer(rows, n_docs, avg_len, k, places), f"query {_kind(queries, 'query')}, item {_kind(corpus, 'item')}, score double")
+    return top(scored, ["query"], "score", "item", k)
+
+
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
+
+
+def _scorer(rows: list, n_docs: int, avg_len: float, k: int, places: int):
+    """Best items of each query in a batch of documents (item, t: its tokens)."""
+    names = sorted({r.query for r in rows})
+    place = {q: i for i, q in enumerate(names)}
+    column = {t: i for i, t in enumerate(sorted({r.token for r in rows}))}
+    weights = np.zeros((len(column), len(names)))
+    for r in rows:
+        weights[column[r.token], place[r.query]] = math.log(1 + (n_docs - r.df + 0.5) / (r.df + 0.5)) * r.qtf
+
+    def best(items: np.ndarray, docs: list) -> Iterator[pd.DataFrame]:
+        scores = np.zeros((len(items), len(names)))
+        for i, words in enumerate(docs):
+            found = [column[w] for w in words if w in column]
+            if found:
+                at, tf = np.unique(np.array(found), return_counts=True)
+                gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / avg_len))
+                scores[i] = gain @ weights[at]
+        scores = np.round(scores, places)
+        for q, name in enumerate(names):
+            own = scores[:, q]
+            some = np.flatnonzero(own > 0)
+            if len(some) > k:
+                edge = np.partition(own[some], len(some) - k)[len(some) - k]
+                some = some[own[some] >= edge]
+            some = some[np.lexsort((items[some], -own[some]))[:k]]
+            if len(some):
+                yield pd.DataFrame({"query": [name] * len(some), "item": items[some], "score": own[some]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for a in range(0, len(frame), 2048):
+                part = frame.iloc[a : a + 2048]
+                parts = list(best(part["item"].to_numpy(), [t if t is not None else () for t in part["t"]]))
+                if parts:
+                    yield pd.concat(parts)
+
+    return run
+
+
+def _bm25_joined(asked: DataFrame, words: DataFrame, whole: DataFrame, k: int, places: int) -> DataFrame:
+    """The same by joins on the token, for query sides of any size."""
     tf = (
         words.select("item", F.size("t").alias("len"), F.explode("t").alias("token"))
         .join(asked.select("token").distinct(), "token", "left_semi")
