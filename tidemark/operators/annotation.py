@@ -49,15 +49,22 @@ def remapped(presence: DataFrame, id_map: DataFrame) -> DataFrame:
     return rows.withColumn("eid", new).where(F.col("eid").isNotNull()).drop("_m").distinct()
 
 
-def disruption_peaks(frames: DataFrame, keys: list[str], idx: str, similarity: str) -> DataFrame:
-    """The frame where similarity falls most below both its neighbours (1.0 beyond the edges); the first of equals."""
-    own = Window.partitionBy(*keys).orderBy(idx)
-    cur = F.col(similarity)
-    left, right = F.coalesce(F.lag(similarity).over(own), F.lit(1.0)), F.coalesce(F.lead(similarity).over(own), F.lit(1.0))
-    fall = F.round(F.greatest(F.lit(0.0), left - cur) + F.greatest(F.lit(0.0), right - cur), 9)
-    rows = frames.withColumn("disruption", fall)
-    best = F.max(F.struct("disruption", (-F.col(idx)).alias("i")))
-    return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, (-F.col("b.i")).alias(idx), F.col("b.disruption").alias("disruption"))
+def refined_boundaries(similarities: DataFrame, candidates: DataFrame, keys: list[str], idx: str, similarity: str, radius: int, whole: float) -> DataFrame:
+    """keys, candidate, refined, disruption: each candidate boundary moved to the sharpest break near it.
+
+    ``similarities`` has, at idx, how alike frame idx and the next one are (``whole`` if they are the same).
+    Of the places within ``radius`` of a candidate, the one that falls most below both
+    its neighbours (``whole`` beyond the edges) is the break, the first of equals; the boundary
+    is the frame after it. Places meet candidates by equality, ``2 * radius + 1`` each.
+    """
+    near = candidates.withColumn(idx, F.explode(F.sequence(F.col("candidate") - radius, F.col("candidate") + radius)))
+    rows = similarities.select(*keys, idx, similarity).join(near.select(*keys, "candidate", idx), [*keys, idx])
+    own = Window.partitionBy(*keys, "candidate").orderBy(idx)
+    cur, edge = F.col(similarity), F.lit(whole)
+    left, right = F.coalesce(F.lag(similarity).over(own), edge), F.coalesce(F.lead(similarity).over(own), edge)
+    rows = rows.withColumn("disruption", F.greatest(F.lit(0), left - cur) + F.greatest(F.lit(0), right - cur))
+    best = rows.groupBy(*keys, "candidate").agg(F.max(F.struct("disruption", (-F.col(idx)).alias("i"))).alias("b"))
+    return best.select(*keys, "candidate", (1 - F.col("b.i")).alias("refined"), F.col("b.disruption").alias("disruption"))
 
 
 def sharp_frames(frames: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -105,5 +105,6 @@ def stratified_sample(rows: DataFrame, item: str, rate: float, minimum: int, see
 
 def work_list(jobs: DataFrame, done: DataFrame, keys: list[str], shard: int, shards: int) -> DataFrame:
     """Jobs of a shard that have no result yet: an anti join and a keyed hash."""
-    mine = F.pmod(F.crc32(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])), F.lit(shards)) == shard
+    digest = F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]), 256)
+    mine = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % shards == shard
     return jobs.where(mine).join(done, keys, "left_anti")

@@ -138,17 +138,20 @@ def auc(scored: DataFrame, by: list[str], score: str, positive: str) -> DataFram
 
 
 def youden(scored: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
-    """Threshold t of the rule score >= t with the largest J; of equals (at 4 places) the lowest."""
+    """Threshold t of the rule score >= t with the largest J; of equals the lowest. J is rounded after the choice."""
     counts = scored.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n")
     )
     own = Window.partitionBy(*by)
     up = own.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    j = F.sum("p").over(up) / F.nullif(F.sum("p").over(own), F.lit(0)) - F.sum("n").over(up) / F.nullif(
-        F.sum("n").over(own), F.lit(0)
+    rows = counts.select(
+        *by, score, F.sum("p").over(up).alias("tp"), F.sum("n").over(up).alias("fp"), F.sum("p").over(own).alias("all_p"), F.sum("n").over(own).alias("all_n")
     )
-    rows = counts.select(*by, score, F.struct(F.round(j, 4).alias("j"), (-F.col(score)).alias("t")).alias("x"))
-    return rows.groupBy(*by).agg(F.max("x").alias("x")).select(*by, (-F.col("x.t")).alias("threshold"), F.col("x.j").alias("j"))
+    # Compared as whole numbers, J times both totals, so that no rounding decides.
+    rows = rows.withColumn("x", F.struct((F.col("tp") * F.col("all_n") - F.col("fp") * F.col("all_p")).alias("w"), (-F.col(score)).alias("t"), "tp", "fp", "all_p", "all_n"))
+    best = rows.groupBy(*by).agg(F.max("x").alias("x"))
+    j = F.col("x.tp") / F.nullif(F.col("x.all_p"), F.lit(0)) - F.col("x.fp") / F.nullif(F.col("x.all_n"), F.lit(0))
+    return best.select(*by, (-F.col("x.t")).alias("threshold"), F.round(j, 4).alias("j"))
 
 
 def inverse_weighted_shares(rows: DataFrame, group: str, probability: str) -> DataFrame:

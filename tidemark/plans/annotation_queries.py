@@ -65,13 +65,14 @@ def registry_patch(spark, d):
     return A.remapped(presence(spark, d).drop("kind"), m).select("story", "idx", "eid")
 
 
-@query(f"""WITH {TIMELINE}, s AS (SELECT story, idx, round(value / 200, 4) AS sim FROM tl),
-f AS (SELECT story, idx, round(greatest(0.0, coalesce(lag(sim) OVER w, 1.0) - sim) + greatest(0.0, coalesce(lead(sim) OVER w, 1.0) - sim), 9) AS disruption FROM s WINDOW w AS (PARTITION BY story ORDER BY idx))
-SELECT story, idx, disruption FROM (SELECT *, row_number() OVER (PARTITION BY story ORDER BY disruption DESC, idx) AS k FROM f) WHERE k = 1""")
+@query(f"""WITH {TIMELINE}, s AS (SELECT story, idx, CAST(floor(value * 100) AS BIGINT) AS sim FROM tl), c AS (SELECT story, idx AS candidate FROM tl WHERE idx % 12 = 6),
+n AS (SELECT c.story, candidate, idx, sim FROM c JOIN s ON s.story = c.story AND idx BETWEEN candidate - 5 AND candidate + 5),
+f AS (SELECT story, candidate, idx, greatest(0, coalesce(lag(sim) OVER w, 60000) - sim) + greatest(0, coalesce(lead(sim) OVER w, 60000) - sim) AS disruption FROM n WINDOW w AS (PARTITION BY story, candidate ORDER BY idx))
+SELECT story, candidate, idx + 1 AS refined, disruption FROM f QUALIFY row_number() OVER (PARTITION BY story, candidate ORDER BY disruption DESC, idx) = 1""")
 def boundary_refinement(spark, d):
-    """The frame of largest disruption in each story."""
-    t = timeline(spark, d).select("story", "idx", F.round(F.col("value") / 200, 4).alias("sim"))
-    return A.disruption_peaks(t, ["story"], "idx", "sim")
+    """Candidate boundaries moved to the sharpest break near them; similarities are hundredths of the value."""
+    t = timeline(spark, d).select("story", "idx", F.floor(F.col("value") * 100).cast("long").alias("sim"))
+    return A.refined_boundaries(t, t.where("idx % 12 = 6").select("story", F.col("idx").alias("candidate")), ["story"], "idx", "sim", 5, 60000)
 
 
 @query(f"""WITH {TIMELINE}, k AS (SELECT story, idx AS t, value, row_number() OVER (PARTITION BY story ORDER BY value DESC, event_id % 7 DESC, idx) AS r FROM tl)

@@ -103,7 +103,9 @@ def review_queue(spark, d):
     return C.best_per_key(cards, ["o_custkey"], [F.asc("o_orderpriority"), F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query()
+@query("""WITH h AS (SELECT o_orderstatus AS stratum, sha256(o_orderkey || '|' || o_orderpriority) AS h FROM orders),
+p AS (SELECT substr(h, 1, 2) AS p, sum(CAST('0x' || substr(h, 3, 12) AS BIGINT)) AS s FROM h GROUP BY 1), w AS (SELECT sha256(string_agg(p || ':' || s, ',' ORDER BY p || ':' || s)) AS digest FROM p)
+SELECT stratum, count(*) AS n, any_value(digest) AS digest FROM h CROSS JOIN w GROUP BY stratum""")
 def manifest_counters(spark, d):
     """Strata counts and a digest of all lines."""
     o = table(spark, d, "orders")

@@ -103,7 +103,9 @@ def content_hashes(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.content_hash(F.col("c_custkey"), F.col("c_mktsegment")).alias("digest"))
 
 
-@query()
+@query("""WITH h AS (SELECT item_id, sha256(encode(text) || '\\x00\\x00\\x00\\x00'::BLOB) || sha256(encode(text) || '\\x00\\x00\\x00\\x01'::BLOB) || sha256(encode(text) || '\\x00\\x00\\x00\\x02'::BLOB) || sha256(encode(text) || '\\x00\\x00\\x00\\x03'::BLOB) AS d FROM benchmark),
+r AS (SELECT item_id, list_transform(range(64), lambda i: CAST('0x' || substr(d, i * 4 + 1, 4) AS INTEGER) / 65535.0 * 2.0 - 1.0) AS v FROM h), s AS (SELECT item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM r)
+SELECT item_id, CAST(len(v) AS INTEGER) AS dim, round(v[1] / size, 6) AS first, round(list_sum(list_transform(v, lambda x: (x / size) * (x / size))), 6) AS norm FROM s""")
 def hash_embeddings(spark, d):
     """Deterministic vectors from a text's hash."""
     v = table(spark, d, "benchmark").select("item_id", X.hash_vector(F.col("text")).alias("v"))
@@ -194,7 +196,7 @@ def lint(spark, d):
     )
 
 
-@query()
+@query("""SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 4 = 1 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)""")
 def resume_work_list(spark, d):
     """Jobs of one shard without a result."""
     o = table(spark, d, "orders").select("o_orderkey")
@@ -247,7 +249,17 @@ def _boxes(spark, d):
     return rows.groupBy("shot", "frame", "item").agg(F.min("b").alias("b")).select("shot", "frame", "item", "b.box", "b.score", "b.phrase")
 
 
-@query()
+BOXES_SQL = """bx AS (SELECT l_orderkey AS frame, l_orderkey * 10 + l_linenumber AS item, [l_partkey % 300, l_suppkey % 300, l_partkey % 300 + 100 + CAST(l_quantity AS BIGINT), l_suppkey % 300 + 150] AS box, l_extendedprice AS score FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_orderkey * 10 + l_linenumber ORDER BY l_partkey % 300, l_suppkey % 300, l_quantity, l_extendedprice, l_returnflag) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, item) AS k FROM bx),
+st AS (SELECT frame, 1 :: BIGINT AS k, [box] AS kept, item, score, true AS ok FROM o WHERE k = 1
+  UNION ALL SELECT frame, k, CASE WHEN ok THEN list_append(kept, box) ELSE kept END, item, score, ok FROM (
+    SELECT o.frame, o.k, s.kept, o.box, o.item, o.score, len(list_filter(s.kept, lambda b: greatest(0, least(b[3], o.box[3]) - greatest(b[1], o.box[1])) * greatest(0, least(b[4], o.box[4]) - greatest(b[2], o.box[2])) >=
+      0.3 * ((b[3] - b[1]) * (b[4] - b[2]) + (o.box[3] - o.box[1]) * (o.box[4] - o.box[2]) - greatest(0, least(b[3], o.box[3]) - greatest(b[1], o.box[1])) * greatest(0, least(b[4], o.box[4]) - greatest(b[2], o.box[2]))))) = 0 AS ok
+    FROM st s JOIN o ON o.frame = s.frame AND o.k = s.k + 1))
+SELECT frame, item, score FROM st WHERE ok""")
 def box_suppression(spark, d):
     """Non-maximum suppression by frame."""
     return K.suppress_boxes(_boxes(spark, d), ["frame"], 0.3)
@@ -260,9 +272,21 @@ def tracklets(spark, d):
     return K.track_boxes(b, ["shot"], 0.3, 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {TIMELINE}, t AS (SELECT story, idx, CAST(floor(value) AS BIGINT) % 90 + 1 + CASE WHEN event_id % 19 = 0 THEN 200 ELSE 0 END AS n FROM tl),
+e AS (SELECT story, idx, n, sum(n) OVER (PARTITION BY story ORDER BY idx) AS hi FROM t), sp AS (SELECT story, CAST(hi - n AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, n, CAST(ceil(n / 150.0) AS BIGINT) AS parts FROM e),
+pc AS (SELECT story, lo + p * CAST(ceil(n / CAST(parts AS DOUBLE)) AS BIGINT) AS lo, least(lo + (p + 1) * CAST(ceil(n / CAST(parts AS DOUBLE)) AS BIGINT), hi) AS hi, parts > 1 AS solid FROM (SELECT *, unnest(range(parts)) AS p FROM sp)),
+it AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY lo) AS k FROM pc WHERE hi > lo),
+f AS (SELECT story, k, 1 :: BIGINT AS g, lo AS glo, hi AS ghi, NOT solid AND hi - lo < 60 AS more FROM it WHERE k = 1
+  UNION ALL SELECT i.story, i.k, CASE WHEN j THEN s.g ELSE s.g + 1 END, CASE WHEN j THEN s.glo ELSE i.lo END, i.hi, NOT i.solid AND i.hi - CASE WHEN j THEN s.glo ELSE i.lo END < 60
+  FROM f s JOIN LATERAL (SELECT *, s.more AND NOT solid AND lo = s.ghi AND hi - s.glo <= 150 AS j FROM it) i ON i.story = s.story AND i.k = s.k + 1),
+raw AS (SELECT story, g AS k, min(glo) AS lo, max(ghi) AS hi FROM f GROUP BY 1, 2),
+m AS (SELECT story, k, 1 :: BIGINT AS c, lo AS mlo, hi AS mhi FROM raw WHERE k = 1
+  UNION ALL SELECT r.story, r.k, CASE WHEN j THEN s.c ELSE s.c + 1 END, CASE WHEN j THEN s.mlo ELSE r.lo END, r.hi
+  FROM m s JOIN LATERAL (SELECT *, lo = s.mhi AND (s.mhi - s.mlo < 60 OR hi - lo < 60) AND hi - s.mlo <= 150 AS j FROM raw) r ON r.story = s.story AND r.k = s.k + 1)
+SELECT story, c - 1 AS chunk_id, min(mlo) AS lo, max(mhi) - 1 AS hi FROM m GROUP BY story, c""")
 def packed_shots(spark, d):
     """Contiguous shots packed into chunks."""
-    t = timeline(spark, d).select("story", "idx", (F.floor("value").cast("long") % 90 + 1).alias("n"))
+    long = F.when(F.col("event_id") % 19 == 0, 200).otherwise(0)
+    t = timeline(spark, d).select("story", "idx", (F.floor("value").cast("long") % 90 + 1 + long).alias("n"))
     end = F.sum("n").over(Window.partitionBy("story").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     return K.pack_spans(t.withColumn("hi", end - 1).withColumn("lo", end - F.col("n")), ["story"], 60, 150)

@@ -163,9 +163,9 @@ def roc_auc(spark, d):
 
 
 @query(f"""WITH {SCORED}, g AS (SELECT lang, score, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM s GROUP BY lang, score),
-w AS (SELECT lang, score, round(CAST(sum(p) OVER (PARTITION BY lang ORDER BY score DESC) AS DOUBLE) / nullif(sum(p) OVER (PARTITION BY lang), 0)
-  - CAST(sum(n) OVER (PARTITION BY lang ORDER BY score DESC) AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY lang), 0), 4) AS j FROM g)
-SELECT lang, score AS threshold, j FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY j DESC NULLS LAST, score) AS k FROM w) WHERE k = 1""")
+w AS (SELECT lang, score, sum(p) OVER u AS tp, sum(n) OVER u AS fp, sum(p) OVER a AS np, sum(n) OVER a AS nn FROM g WINDOW u AS (PARTITION BY lang ORDER BY score DESC), a AS (PARTITION BY lang))
+SELECT lang, score AS threshold, round(CAST(tp AS DOUBLE) / nullif(np, 0) - CAST(fp AS DOUBLE) / nullif(nn, 0), 4) AS j
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tp * nn - fp * np DESC, score) AS k FROM w) WHERE k = 1""")
 def youden_threshold(spark, d):
     """Threshold of largest sensitivity plus specificity; the lowest of equals."""
     return S.youden(scored(spark, d), ["lang"], "score", "pos")

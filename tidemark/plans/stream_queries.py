@@ -28,8 +28,9 @@ def causal_stream(spark, d):
     return causal.drained(causal.answers(turns, 3))
 
 
-@query()
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""")
 def event_windows(spark, d):
-    """Hourly counts with a watermark; the last windows stay open."""
+    """Hourly counts with a watermark of ten minutes; windows that it has not passed are not yet told."""
     events = causal.read_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return causal.drained(causal.windowed_counts(events, "10 minutes", "1 hour"))
