@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
+from tidemark.operators.lint import overlap
+
 
 def identity_units(timeline: DataFrame, long_gap: int = 30) -> DataFrame:
     """A unit for each re-appearance: its previous appearance, states at both ends and stratum.
@@ -74,18 +77,26 @@ def sharp_frames(frames: DataFrame, keys: list[str], k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("t")))
 
 
-def conflict_winners(crops: DataFrame, margin: float) -> DataFrame:
-    """Crops of one (chunk, crop path) claimed by several entities: the best keeps it if it leads by ``margin``, else all go.
+def conflict_winners(crops: DataFrame, max_iou: float, margin: float) -> DataFrame:
+    """``n_claims`` and ``kept`` of crops that several entities claim: of each conflict the best one stays if it leads by ``margin``, else none.
 
-    crops: chunk_id, path, eid, score.
+    crops: item (a number), chunk_id, frame, kind, path, box, score. Crops of one chunk,
+    frame and kind conflict if they share their path or overlap by ``max_iou``, and through others
+    that do; crops in no conflict stay.
     """
-    own = Window.partitionBy("chunk_id", "path")
-    order = own.orderBy(F.desc("score"), "eid")
-    rows = crops.withColumns(
-        {"n_claims": F.count(F.lit(1)).over(own), "_r": F.row_number().over(order), "_second": F.lead("score").over(order)}
+    group = ["chunk_id", "frame", "kind"]
+    other = crops.select(*group, F.col("item").alias("o_item"), F.col("path").alias("o_path"), F.col("box").alias("o_box"))
+    clash = (F.col("path") == F.col("o_path")) | (overlap(F.col("box"), F.col("o_box")) >= max_iou)
+    edges = crops.join(other, group).where((F.col("item") < F.col("o_item")) & clash).select(F.col("item").alias("u"), F.col("o_item").alias("v"))
+    parts = components(edges).withColumnsRenamed({"node": "item", "component": "conflict"})
+    rows = crops.join(parts, "item", "left")
+    own = Window.partitionBy("conflict")
+    claimed = rows.where(F.col("conflict").isNotNull()).withColumns(
+        {"n_claims": F.count(F.lit(1)).over(own), "_r": F.row_number().over(own.orderBy(F.desc("score"), "item")), "_next": F.lead("score").over(own.orderBy(F.desc("score"), "item"))}
     )
-    wins = (F.col("n_claims") == 1) | ((F.col("_r") == 1) & (F.col("score") - F.col("_second") >= margin))
-    return rows.withColumn("kept", F.coalesce(wins, F.lit(False))).drop("_r", "_second")
+    claimed = claimed.withColumn("kept", (F.col("_r") == 1) & (F.col("score") - F.col("_next") >= margin)).drop("_r", "_next")
+    free = rows.where(F.col("conflict").isNull()).withColumns({"n_claims": F.lit(1).cast("long"), "kept": F.lit(True)})
+    return claimed.withColumn("kept", F.coalesce("kept", F.lit(False))).unionByName(free)
 
 
 def parity(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

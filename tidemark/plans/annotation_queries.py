@@ -83,13 +83,21 @@ def keyframe_candidates(spark, d):
     return A.sharp_frames(t, ["story"], 5).select("story", "t", "place")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS chunk_id, l_returnflag AS path, l_suppkey AS eid, max(l_discount) AS score FROM lineitem GROUP BY ALL),
-r AS (SELECT *, count(*) OVER (PARTITION BY chunk_id, path) AS n_claims, row_number() OVER w AS k, lead(score) OVER w AS second FROM c WINDOW w AS (PARTITION BY chunk_id, path ORDER BY score DESC, eid))
-SELECT chunk_id, path, eid, n_claims, coalesce(n_claims = 1 OR (k = 1 AND score - second >= 0.015), false) AS kept FROM r""")
+@query("""WITH RECURSIVE c AS (SELECT l_orderkey * 100000 + l_linenumber * 10000 + l_partkey % 10000 AS item, l_orderkey AS chunk, l_linenumber % 2 AS frame, l_returnflag AS kind, l_suppkey % 4 AS path, l_partkey % 5 AS y, max(CAST(l_quantity AS INTEGER)) AS score FROM lineitem GROUP BY ALL),
+e AS (SELECT a.item AS u, b.item AS v FROM c a JOIN c b ON a.chunk = b.chunk AND a.frame = b.frame AND a.kind = b.kind AND a.item <> b.item AND (a.path = b.path OR a.y = b.y)),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v), g AS (SELECT u AS item, least(u, min(v)) AS conflict FROM r GROUP BY u),
+w AS (SELECT c.item, conflict, count(*) OVER p AS n_claims, row_number() OVER o AS k, score - lead(score) OVER o AS lead FROM c JOIN g USING (item) WINDOW p AS (PARTITION BY conflict), o AS (PARTITION BY conflict ORDER BY score DESC, c.item))
+SELECT item, conflict, n_claims, k = 1 AND lead >= 15 AS kept FROM w UNION ALL SELECT item, NULL, 1, true FROM c WHERE item NOT IN (SELECT item FROM g)""")
 def conflict_gate(spark, d):
-    """Crops that several entities claim."""
-    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("chunk_id"), F.col("l_returnflag").alias("path"), F.col("l_suppkey").alias("eid"))
-    return A.conflict_winners(li.agg(F.max("l_discount").alias("score")), 0.015).select("chunk_id", "path", "eid", "n_claims", "kept")
+    """Crops that several entities claim, by shared path or box."""
+    li = table(spark, d, "lineitem")
+    item = F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_partkey") % 10000
+    y = F.col("l_partkey") % 5 * 100
+    crops = li.groupBy(
+        item.alias("item"), F.col("l_orderkey").alias("chunk_id"), (F.col("l_linenumber") % 2).alias("frame"), F.col("l_returnflag").alias("kind"), (F.col("l_suppkey") % 4).alias("path"),
+        F.array(y, F.lit(0).cast("long"), y + 100, F.lit(500).cast("long")).alias("box"),
+    ).agg(F.max(F.col("l_quantity").cast("int")).alias("score"))
+    return A.conflict_winners(crops, 0.95, 15).select("item", "conflict", "n_claims", "kept")
 
 
 @query("""WITH a AS (SELECT c_custkey AS k, c_mktsegment AS x, c_nationkey AS y FROM customer WHERE c_acctbal > 0), b AS (SELECT c_custkey AS k, CASE WHEN c_nationkey < 5 THEN NULL ELSE c_mktsegment END AS x, c_nationkey AS y FROM customer WHERE c_acctbal < 8000)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import postprocess as P
+from tidemark.sources import flatten
 
 from .bindings import table
 
@@ -100,3 +101,41 @@ def normalized_annotations(spark, d):
     joined = F.concat_ws(",", ids)
     n = lambda c: F.col(f"counts.{c}").cast("long")
     return rows.select("movie", n("characters").alias("n_characters"), n("visual_segments").alias("n_segments"), F.when(F.size(ids) > 0, joined).otherwise(F.when(n("characters") > 0, F.lit(None)).otherwise("")).alias("ids"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS movie, l_linenumber * 5 AS a, l_linenumber * 5 + l_suppkey % 4 - 1 AS b, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem WHERE l_orderkey % 31 <> 0)
+SELECT movie, CAST(row_number() OVER (PARTITION BY movie ORDER BY least(a, b), greatest(a, b), pos) - 1 AS INTEGER) AS idx, CAST(least(a, b) AS DOUBLE) AS start, CAST(greatest(a, b) AS DOUBLE) AS "end", 'e' || (p % 5) || ',e' || (s % 5) AS present FROM r""")
+def flattened_segments(spark, d):
+    """Segments of all scenes in the order of time; reversed ones are put right."""
+    rows = flatten.flat_segments(annotations(spark, d))
+    return rows.select("movie", "idx", "start", F.col("end_").alias("end"), F.array_join("present", ",").alias("present"))
+
+
+def author_sources(spark, d):
+    """story, doc: an order of lines as a source of one scene a return flag; every third action is an object."""
+    li = table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    name = F.concat(F.lit("act "), F.col("l_partkey").cast("string"))
+    action = F.when(F.col("l_partkey") % 3 == 0, F.to_json(F.struct(F.concat(name, F.lit(" ")).alias("action"), F.when(F.col("l_suppkey") % 2 == 0, F.array(F.lit("own"))).alias("present"), F.array(F.struct(F.lit("mine").alias("e"))).alias("events")))).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+    by = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", action.alias("t")))), lambda x: x["t"])
+    scene = li.groupBy(F.col("l_orderkey").alias("story"), F.col("l_returnflag").alias("flag")).agg(F.concat_ws(",", by).alias("acts"))
+    text = F.concat(F.lit('{"id":"'), "flag", F.lit('","present":["all"],"events":[{"at":1,"e":"first"}],"actions":['), "acts", F.lit("]}"))
+    story = scene.groupBy("story").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("flag", text.alias("t")))), lambda x: x["t"])).alias("s"))
+    return story.select("story", F.try_parse_json(F.concat(F.lit('{"scenes":['), "s", F.lit("]}"))).alias("doc"))
+
+
+LINES = """r AS (SELECT l_orderkey AS story, l_returnflag AS flag, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS local FROM lineitem WHERE l_orderkey % 5 = 0)"""
+
+
+@query(f"""WITH {LINES} SELECT story, CAST(row_number() OVER (PARTITION BY story ORDER BY flag, local) - 1 AS INTEGER) AS idx, flag AS scene_id, 'act ' || p AS action, CASE WHEN p % 3 = 0 AND s % 2 = 0 THEN 'own' ELSE 'all' END AS present,
+  CASE WHEN local = 0 THEN 'cut' ELSE 'continue' END AS transition, concat_ws(',', CASE WHEN local = 1 THEN 'first' END, CASE WHEN p % 3 = 0 THEN 'mine' END) AS events FROM r""")
+def flattened_actions(spark, d):
+    """Actions of author sources as segments."""
+    rows = flatten.flat_actions(author_sources(spark, d))
+    named = F.array_join(F.transform("events", lambda e: P.string(P.field(e, "e"))), ",")
+    return rows.select("story", "idx", "scene_id", "action", F.array_join("present", ",").alias("present"), "transition", named.alias("events"))
+
+
+@query(f"""WITH {LINES} SELECT story, flag AS scene_id, 'event_out_of_range' AS fault FROM r GROUP BY 1, 2 HAVING count(*) = 1""")
+def author_source_faults(spark, d):
+    """Scenes whose events name no action."""
+    return flatten.source_faults(author_sources(spark, d))
