@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import ratio
+from tidemark.sources.checkpoints import durable
 
 
 def majority_vote(votes: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,18 +60,19 @@ def coverage_scores(refs: DataFrame, expected: DataFrame) -> DataFrame:
     references cover, 1 where none is expected. Without references precision and
     F1 are null and recall is 0 (1 where none is expected).
     """
-    per_ref = refs.groupBy("segment", "ref").agg(F.count("entity").alias("n_entities"))
-    hits = per_ref.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n_refs"), F.count_if(F.col("n_entities") > 0).alias("n_useful")
+    # One grouping: a segment's references are few, and each is kept once with and once without an entity at most.
+    found = refs.groupBy("segment").agg(
+        F.collect_set(F.struct("ref", F.col("entity").isNotNull().alias("useful"))).alias("refs"), F.collect_set("entity").alias("seen")
     )
-    seen = refs.groupBy("segment").agg(F.collect_set("entity").alias("seen"))
-    rows = expected.join(hits, "segment", "left").join(seen, "segment", "left")
+    distinct = lambda rows: F.size(F.array_distinct(F.transform(rows, lambda r: r["ref"])))
+    found = found.select("segment", "seen", distinct("refs").alias("n_refs"), distinct(F.filter("refs", lambda r: r["useful"])).alias("n_useful"))
+    rows = expected.join(found, "segment", "left")
     n_refs = F.coalesce("n_refs", F.lit(0))
     wanted = F.array_distinct("entities")
     covered = F.size(F.array_intersect(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
     precision = F.when(n_refs > 0, F.round(F.col("n_useful") / F.nullif(n_refs, F.lit(0)), 4))
     recall = F.when(F.size(wanted) == 0, 1.0).otherwise(F.round(covered / F.nullif(F.size(wanted), F.lit(0)), 4))
-    rows = rows.select("segment", n_refs.alias("n_refs"), precision.alias("precision"), recall.alias("recall"))
+    rows = rows.select("segment", n_refs.cast("long").alias("n_refs"), precision.alias("precision"), recall.alias("recall"))
     p, r = F.col("precision"), F.col("recall")
     return rows.withColumn(
         "f1", F.when(p + r == 0, 0.0).otherwise(F.round(2 * p * r / F.nullif(p + r, F.lit(0.0)), 4))
@@ -181,17 +183,37 @@ def bootstrap(tallies: DataFrame, draws: DataFrame, by: str) -> DataFrame:
     )
 
 
+def rank_quantiles(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """keys, n and, for each name in ``ranks``, the value at that place (from 0, an expression over n) of the sorted values.
+
+    Equal values are counted first and places are found in running counts, so no key's values are gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    own = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"_upto": upto, "n": F.sum("_c").over(own)})
+    return ranked.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("_upto") > place, F.col(value))).alias(name) for name, place in ranks.items()])
+
+
 def capacity_plan(stories: DataFrame, order: list[str], segments: str, seconds_per_segment: float, load_seconds: float) -> DataFrame:
     """Running totals of segments and hours in the given order, and the longest story so far.
 
-    A plan is one row a story, and totals run over all of it.
+    Stories are sorted by ranges; totals run inside each range, and over the ranges' own totals.
     """
-    run = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cost = (F.col(segments) * seconds_per_segment + load_seconds) / 3600.0
-    return stories.withColumns(
+    rows = durable(
+        stories.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_cost": cost})
+    )
+    totals = {"_s": F.sum(segments), "_h": F.sum("_cost"), "_m": F.max(segments)}
+    parts = rows.groupBy("_part").agg(*[c.alias(n) for n, c in totals.items()])  # one row a range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.sum("_s").over(before).alias("_s"), F.sum("_h").over(before).alias("_h"), F.max("_m").over(before).alias("_m"))
+    run = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(parts), "_part")
+    return out.withColumns(
         {
-            "cum_segments": F.sum(segments).over(run),
-            "cum_hours": F.round(F.sum(cost).over(run), 6),
-            "longest": F.max(segments).over(run),
+            "cum_segments": F.sum(segments).over(run) + F.coalesce("_s", F.lit(0)),
+            "cum_hours": F.round(F.sum("_cost").over(run) + F.coalesce("_h", F.lit(0.0)), 6),
+            "longest": F.greatest(F.max(segments).over(run), "_m"),
         }
-    )
+    ).select(*stories.columns, "cum_segments", "cum_hours", "longest")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import f1, lower_quantile, ratio, upper_median, weighted_mean, wilson
+from tidemark.functions.stats import f1, ratio, weighted_mean, wilson
 from tidemark.operators import scoring as S
 
 from .bindings import FACTS, GAPS, TIMELINE, facts, table, timeline
@@ -175,11 +175,9 @@ def youden_threshold(spark, d):
 SELECT system, len(o) AS n, o[1 + CAST(floor(0.05 * (len(o) - 1)) AS INT)] AS q05, o[1 + CAST(floor(0.95 * (len(o) - 1)) AS INT)] AS q95, o[1 + CAST(floor(len(o) / 2) AS INT)] AS upper_median FROM a""")
 def lower_quantiles(spark, d):
     """Quantiles at floor indices and the upper median, by system."""
-    a = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("system")).agg(F.array_sort(F.collect_list("l_extendedprice")).alias("o"))
-    return a.select(
-        "system", F.size("o").cast("long").alias("n"), lower_quantile(F.col("o"), 0.05).alias("q05"), lower_quantile(F.col("o"), 0.95).alias("q95"),
-        upper_median(F.col("o")).alias("upper_median"),
-    )
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("system"), "l_extendedprice")
+    at = lambda share: F.floor(F.lit(share) * (F.col("n") - 1))
+    return S.rank_quantiles(rows, ["system"], "l_extendedprice", {"q05": at(0.05), "q95": at(0.95), "upper_median": F.floor(F.col("n") / 2)})
 
 
 @query("""WITH w AS (SELECT o_orderpriority AS reason, count(*) AS n, sum(1.0 / CASE o_orderstatus WHEN 'P' THEN 0.25 WHEN 'F' THEN 0.5 ELSE 1.0 END) AS w FROM orders GROUP BY 1)
