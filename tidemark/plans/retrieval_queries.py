@@ -211,7 +211,10 @@ def box_conflicts(spark, d):
     return pairs.select("chunk", "left", "right", iou(F.col("box"), F.col("r_box")).alias("raw")).where("raw >= 0.2").select("chunk", "left", "right", F.round("raw", 6).alias("iou"))
 
 
-@query()
+@query("""WITH RECURSIVE ed AS (SELECT DISTINCT o_custkey AS u, l_partkey + 1000000000 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey), bi AS (SELECT u, v FROM ed UNION ALL SELECT v, u FROM ed),
+cc(node, component) USING KEY (node) AS (SELECT DISTINCT u AS node, u AS component FROM bi
+  UNION (SELECT bi.u AS node, min(c.component) AS component FROM cc c JOIN bi ON bi.v = c.node JOIN recurring.cc r ON r.node = bi.u WHERE c.component < r.component GROUP BY bi.u))
+SELECT node, component FROM cc""")
 def merge_components(spark, d):
     """Components of the graph of customers and the parts they order."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")

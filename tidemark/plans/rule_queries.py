@@ -209,13 +209,27 @@ def _items(spark, d):
     return e.select("label", F.col("vec_id").alias("item"), F.col("embedding").alias("vec"), (F.col("vec_id") * 37 % 101).cast("double").alias("quality"))
 
 
-@query()
+VECTORS = "e AS (SELECT label, vec_id AS item, embedding::DOUBLE[] AS v, CAST(vec_id * 37 % 101 AS DOUBLE) AS quality FROM embeddings)"
+
+
+@query(f"""WITH RECURSIVE {VECTORS}, u AS (SELECT label, item, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+c AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u) GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT label, item, v FROM u JOIN c USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(list_cosine_similarity(v, c), 9) DESC, item) = 1),
+g AS (SELECT f.label, f.item, list({{'item': u.item, 'v': u.v, 'far': CASE WHEN u.item = f.item THEN -1.0 ELSE 1 - list_dot_product(u.v, f.v) END}} ORDER BY u.item) AS items FROM f JOIN u ON u.label = f.label GROUP BY 1, 2),
+st AS (SELECT label, item, 0 :: BIGINT AS pick, items FROM g
+  UNION ALL SELECT label, nx.item, pick + 1, list_transform(items, lambda x: {{'item': x.item, 'v': x.v, 'far': CASE WHEN x.item = nx.item OR x.far < 0 THEN -1.0 ELSE least(x.far, 1 - list_dot_product(x.v, nx.v)) END}})
+  FROM (SELECT *, list_filter(items, lambda x: round(x.far, 9) = list_max(list_transform(items, lambda y: round(y.far, 9))))[1] AS nx FROM st WHERE pick < 7) WHERE nx.far >= 0.2)
+SELECT label, item, pick FROM st""")
 def farthest_point_sampling(spark, d):
     """Key frames of each group."""
     return K.farthest_points(_items(spark, d), ["label"], 8, 0.2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VECTORS}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY quality DESC, item) AS k FROM e),
+st AS (SELECT label, k, item, [v] AS kept, true AS ok FROM o WHERE k = 1
+  UNION ALL SELECT label, k, item, CASE WHEN ok THEN list_append(kept, v) ELSE kept END, ok FROM (
+    SELECT o.label, o.k, o.item, o.v, s.kept, len(s.kept) < 5 AND len(list_filter(s.kept, lambda x: 1 - list_cosine_similarity(x, o.v) < 0.75)) = 0 AS ok FROM st s JOIN o ON o.label = s.label AND o.k = s.k + 1))
+SELECT label, item FROM st WHERE ok""")
 def non_redundant_selection(spark, d):
     """Exemplars of each entity that keep a distance."""
     return K.non_redundant(_items(spark, d), ["label"], 5, 0.75)
@@ -233,7 +247,11 @@ def running_centroid_clusters(spark, d):
     return K.running_clusters(_items(spark, d), ["label"], 0.3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VECTORS}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY item) AS k FROM e),
+st AS (SELECT label, k, item, [{{'item': item, 'v': v}}] AS kept, item AS into FROM o WHERE k = 1
+  UNION ALL SELECT label, k, item, CASE WHEN near IS NULL THEN list_append(kept, {{'item': item, 'v': v}}) ELSE kept END, coalesce(near, item) FROM (
+    SELECT o.label, o.k, o.item, o.v, s.kept, list_filter(s.kept, lambda x: round(list_cosine_similarity(x.v, o.v), 9) >= 0.3)[1].item AS near FROM st s JOIN o ON o.label = s.label AND o.k = s.k + 1))
+SELECT label, item, "into" FROM st""")
 def semantic_dedup(spark, d):
     """Items absorbed by an earlier similar one."""
     return K.absorb_similar(_items(spark, d), ["label"], 0.3)
