@@ -155,7 +155,8 @@ def scan_blobs(docs: DataFrame, ledger: Ledger, rule_version: str = RULE_VERSION
     fresh = durable(unseen).hint("shuffle_hash")
     scanned = one.join(fresh, "blob", "left_semi").mapInArrow(_scan_once, f"blob string, {FINDINGS}")
     ledger.append(scanned.withColumn("rule_version", F.lit(rule_version)))
-    return paths.join(ledger.known(rule_version), "blob", "left")
+    # Written out, so that the join can deal a hot blob's paths to many tasks.
+    return paths.join(durable(ledger.known(rule_version)), "blob", "left")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
