@@ -197,6 +197,32 @@ def open_segments(segments: DataFrame, query: list[str], frames: Column, k: int)
     return rescored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def keyframe_hits(hits: DataFrame, keyframes: DataFrame, query: list[str], budget: int, places: int = 9) -> DataFrame:
+    """query, item, score, place: key frames of ranked segments, by segment score less a step for each rank.
+
+    hits: query, seg, rank, score; keyframes: seg, item, pick (0 is the segment's first).
+    """
+    opened = hits.join(keyframes, "seg")
+    score = F.round(F.col("score") - RANK_STEP * (F.col("rank") + F.col("pick") + 1), places)
+    order = Window.partitionBy(*query).orderBy(F.desc("frame_score"), "rank", "pick")
+    rows = opened.withColumn("frame_score", score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget)
+    return rows.select(*query, "item", F.col("frame_score").alias("score"), "place")
+
+
+def coarse_to_fine(queries: DataFrame, hits: DataFrame, frames: DataFrame, budget: int, places: int = 6) -> DataFrame:
+    """query, item, score, rank: frames of ranked segments, by their segment's rank and by their own likeness, fused.
+
+    queries: query, q_vec; hits: query, seg, rank; frames: seg, item, vec. The fine
+    list keeps four times the budget.
+    """
+    opened = hits.select("query", "seg", F.col("rank").alias("seg_rank")).join(frames, "seg").join(queries, "query")
+    rows = opened.select("query", "item", "seg_rank", F.round(dot(F.col("q_vec"), F.col("vec")), places).alias("own"))
+    by = lambda *order: F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    coarse = rows.withColumn("rank", by("seg_rank", "item"))
+    fine = rows.withColumn("rank", by(F.desc("own"), "seg_rank", "item")).where(F.col("rank") <= 4 * budget)
+    return fuse([coarse, fine], ["query"], "item", budget)
+
+
 def planned_sources(plans: DataFrame, plan: str, budget: int) -> DataFrame:
     """First ``budget`` planned shots without repeats, and the shot before the segment where there is room."""
     kept = F.array_distinct(F.slice(plan, 1, budget))

@@ -108,6 +108,49 @@ def segment_frames(spark, d):
     )
 
 
+def _shots(spark, d):
+    """queries, segments and frames: ten vectors in a row are a segment, which its sixth stands for; queries see earlier ones."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.floor(F.col("vec_id") / 10).alias("seg"), F.col("embedding").alias("vec"))
+    queries = e.where("item % 40 = 0").select(F.col("item").alias("query"), F.col("vec").alias("q_vec"), F.col("seg").alias("as_of"), F.pmod("seg", F.lit(4)).alias("reel"))
+    segs = e.where("item % 10 = 5").select(F.col("seg").alias("item"), "vec", (F.col("seg") + 1).alias("ends"), F.pmod("seg", F.lit(4)).alias("reel"))
+    hits = R.dense(queries, segs, ["reel"], 4).withColumnRenamed("item", "seg")
+    return queries.select("query", "q_vec"), hits, e
+
+
+SHOTS = """fr AS (SELECT vec_id AS item, vec_id // 10 AS seg, embedding::DOUBLE[] AS v FROM embeddings), qs AS (SELECT item AS query, seg AS as_of, v FROM fr WHERE item % 40 = 0),
+sg AS (SELECT query, s.seg, round(list_dot_product(q.v, s.v), 6) AS score FROM qs q JOIN fr s ON s.item % 10 = 5 AND s.seg % 4 = q.as_of % 4 AND s.seg + 1 <= q.as_of),
+ht AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, seg) AS rank FROM sg QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, seg) <= 4)"""
+
+
+@query(f"""WITH RECURSIVE {SHOTS}, u AS (SELECT seg, item, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM fr),
+c AS (SELECT seg, list(m ORDER BY pos) AS c FROM (SELECT seg, pos, avg(x) AS m FROM (SELECT seg, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u) GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT seg, item, v FROM u JOIN c USING (seg) QUALIFY row_number() OVER (PARTITION BY seg ORDER BY round(list_cosine_similarity(v, c), 9) DESC, item) = 1),
+g AS (SELECT f.seg, f.item, list({{'item': u.item, 'v': u.v, 'far': CASE WHEN u.item = f.item THEN -1.0 ELSE 1 - list_dot_product(u.v, f.v) END}} ORDER BY u.item) AS items FROM f JOIN u ON u.seg = f.seg GROUP BY 1, 2),
+st AS (SELECT seg, item, 0 :: BIGINT AS pick, items FROM g
+  UNION ALL SELECT seg, nx.item, pick + 1, list_transform(items, lambda x: {{'item': x.item, 'v': x.v, 'far': CASE WHEN x.item = nx.item OR x.far < 0 THEN -1.0 ELSE least(x.far, 1 - list_dot_product(x.v, nx.v)) END}})
+  FROM (SELECT *, list_filter(items, lambda x: round(x.far, 9) = list_max(list_transform(items, lambda y: round(y.far, 9))))[1] AS nx FROM st WHERE pick < 2) WHERE nx.far >= 0),
+o AS (SELECT query, st.item, round(score - 0.000001 * (rank + pick + 1), 9) AS score, rank, pick FROM ht JOIN st USING (seg))
+SELECT query, item, score, CAST(row_number() OVER w AS INTEGER) AS place FROM o WINDOW w AS (PARTITION BY query ORDER BY score DESC, rank, pick) QUALIFY row_number() OVER w <= 6""")
+def segment_keyframes(spark, d):
+    """Best segments opened into their farthest-point key frames."""
+    from tidemark.operators import kernels as K
+
+    _, hits, frames = _shots(spark, d)
+    keys = K.farthest_points(frames, ["seg"], 3).select("seg", "item", "pick")
+    return R.keyframe_hits(hits.select("query", "seg", "rank", "score"), keys, ["query"], 6)
+
+
+@query(f"""WITH {SHOTS}, o AS (SELECT h.query, f.item, rank AS seg_rank, round(list_dot_product(q.v, f.v), 6) AS own FROM ht h JOIN fr f USING (seg) JOIN qs q USING (query)),
+l AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY seg_rank, item) AS rank, 0 AS l FROM o
+  UNION ALL SELECT query, item, row_number() OVER w, 1 FROM o WINDOW w AS (PARTITION BY query ORDER BY own DESC, seg_rank, item) QUALIFY row_number() OVER w <= 24),
+s AS (SELECT query, item, round(sum(1.0 / (60 + rank)), 9) AS score, min(l * 1000000 + rank) AS met FROM l GROUP BY ALL)
+SELECT query, item, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY query ORDER BY score DESC, met, item) QUALIFY row_number() OVER w <= 6""")
+def segment_frame_rerank(spark, d):
+    """Frames of the best segments, by their segment and by themselves, fused."""
+    queries, hits, frames = _shots(spark, d)
+    return R.coarse_to_fine(queries, hits, frames, 6)
+
+
 def _best_frames(frames):
     from pyspark.sql import Window
 
