@@ -232,6 +232,23 @@ def test_mixed_documents(edge_docs):
     assert got == {r.doc_id: r.taken for r in plan if r.taken}
 
 
+def test_mixed_documents_with_repeated_and_missing_ids(spark, edge_docs):
+    """Every row's words are those its plan takes, also where rows share an id, a text or both, or have no id."""
+    words = lambda t: sum(1 for w in (t or "").translate({c: 32 for c in range(9, 14)}).split(" ") if w)
+    texts = ["one two three", "four five", "six"]
+    rows = [(None, t, "en", s, len(t)) for t in texts for s in ("a", "b", None)] + [(4, texts[0], "en", "a", 1)] * 2 + [(4, texts[1], "en", "a", 1), (5, None, None, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").unionByName(edge_docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    mixed = mixing.mixed_documents(docs, block_words=50)
+    plan = mixing.mix(docs, block_words=50, keep=("doc_id",)).collect()
+    want, got = {}, {}
+    for r in plan:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    for r in mixed.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + words(r.text)
+    assert got == {k: v for k, v in want.items() if v}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
 def check_packing(df, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -271,8 +288,20 @@ def test_packing_round_trip(edge_docs, no_docs):
 
 def test_packing_many_buffers(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows, _, _, padding = check_packing(packing.pack_documents(docs, buffer_tokens=20_000), [r.text for r in docs.collect()])
-    assert padding <= 0.02 and rows
+    rows, ids, want, padding = check_packing(packing.pack_documents(docs, buffer_tokens=20_000), [r.text for r in docs.collect()])
+    assert padding <= 0.02
+    by_id = dict(zip((r.doc_id for r in docs.collect()), ids, strict=True))
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    whole = []
+    for doc_id, spans in pieces.items():  # a document's pieces tile it, without gap or overlap
+        at = 0
+        for start, length in sorted(spans):
+            assert start == at
+            at += length
+        whole.append((zlib.crc32(by_id[doc_id].tobytes()), at))
+    assert sorted(whole) == want
 
 
 def test_tokens_of_odd_words():

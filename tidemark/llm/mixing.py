@@ -17,7 +17,7 @@ shuffles its documents by a keyed hash. Every leaf can be found from the root
 alone, so shards are dealt in parallel and a lost one is dealt again alike.
 
 Edge cases: null or empty texts have no words and are taken 0 times; an all-empty
-source has target 0; a null doc_id hashes as such; repeated rows are rows of their
+source has target 0; rows without a doc_id hash by their text; repeated rows are rows of their
 own; a null source is a source; further columns are ignored; an empty table gives
 no rows.
 """
@@ -132,7 +132,9 @@ def mix(
     row where a source's target ends).
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(*keep, F.col("source").cast("string").alias("source"), words.alias("size"))
+    # Rows without an id are told apart by their texts, so that they don't share a block.
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("salt")
+    sized = docs.select(*keep, F.col("source").cast("string").alias("source"), words.alias("size"), salt)
     sized = durable(sized)
     targets = durable(source_targets(sized, weights, total_share, most_repeats))
     n_sources = targets.count()
@@ -145,7 +147,7 @@ def mix(
     rows = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("from_source"))).drop(
         "from_source"
     )
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    h = F.xxhash64(F.col("doc_id"), F.col("salt"), F.lit(seed))
     rows = rows.withColumns({"h": h, "block": _permuted(F.pmod(h, F.col("n_blocks")), F.col("n_blocks"))})
 
     # Words before each block in its source's order: within chunks of blocks, and chunks before.
@@ -251,24 +253,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each draw, in its shard's order, its text cut to the words taken.
 
-    Plan and texts meet by doc_id; rows that share one are told apart by their
-    place in the order of size and text (size decides what is drawn).
+    Plan and texts meet by doc_id, text and source; rows that share all three are
+    alike, and their draws are dealt to them one to one.
     """
     names = ("doc_id", "text", "lang", "source", "n_chars")
-    plan = durable(mix(docs, **options).select("doc_id", "size", "draws"))
-    texts = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    alike = F.lit(0)
-    if not plan.groupBy("doc_id").count().where("count > 1").isEmpty():
-        words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-        plan = plan.withColumn("alike", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", F.to_json("draws"))))
-        alike = F.row_number().over(Window.partitionBy("doc_id").orderBy(words, "text"))
+    marks = {"text_hash": F.xxhash64("text"), "its_source": F.col("source").cast("string")}
+    base = docs.select("doc_id", "text", "source").withColumns(marks)
+    keys = ("doc_id", "text_hash", "its_source")
+    plan = durable(mix(base, keep=keys, **options).select(*keys, "size", "draws"))
+    texts = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).withColumns(marks)
+    first = F.lit(0)
+    if not plan.groupBy(*keys).count().where("count > 1").isEmpty():
+        own = Window.partitionBy(*keys)
+        plan = plan.withColumn("alike", F.row_number().over(own.orderBy(F.to_json("draws"))))
+        first = F.row_number().over(own.orderBy("lang", "n_chars"))
     else:
         plan = plan.withColumn("alike", F.lit(0))
-    texts = texts.withColumn("alike", alike)
+    texts = texts.withColumn("alike", first)
     drawn = plan.where(F.size("draws") > 0).select(
-        F.col("doc_id").alias("drawn_id"), F.col("alike").alias("drawn_alike"), "size", F.explode("draws").alias("d")
+        *[F.col(k).alias(f"drawn_{k}") for k in (*keys, "alike")], "size", F.explode("draws").alias("d")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("drawn_id")) & (F.col("alike") == F.col("drawn_alike"))
+    same = F.col("alike") == F.col("drawn_alike")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"drawn_{k}"))
     rows = texts.join(drawn.hint("shuffle_hash"), same).select(*names, "size", "d.words", "d.shard", "d.order")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.sortWithinPartitions("shard", "order").mapInArrow(_cut, schema).select(*names)
