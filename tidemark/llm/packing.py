@@ -192,17 +192,19 @@ def pack_pieces(pieces: list[Piece], window: int = WINDOW, grid: int = GRID) ->
             gap -= take
             if take < length:
                 residual.append((doc, start + take, length - take))
-    residual.reverse()
-    while sum(p[2] for p in residual) >= window:
+    left = sum(p[2] for p in residual)
+    while left >= window:  # the longest are at the end
         filled, got = [], 0
         while got < window:
-            doc, start, length = residual.pop(0)
+            doc, start, length = residual.pop()
             take = min(window - got, length)
             filled.append((doc, start, take))
             got += take
             if take < length:
-                residual.insert(0, (doc, start + take, length - take))
+                residual.append((doc, start + take, length - take))
+        left -= window
         sequences.append(filled)
+    residual.reverse()
     return sequences, residual
 
 
