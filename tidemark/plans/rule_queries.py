@@ -247,6 +247,34 @@ def running_centroid_clusters(spark, d):
     return K.running_clusters(_items(spark, d), ["label"], 0.3)
 
 
+@query(f"""WITH RECURSIVE {VECTORS}, b AS (SELECT *, CASE WHEN item % 3 = 0 THEN 'unknown' ELSE 'side' || item % 2 END AS side, CASE WHEN label % 2 = 0 THEN '' ELSE 'light' || item % 7 END AS light FROM e),
+w AS (SELECT *, row_number() OVER (PARTITION BY label, side, light ORDER BY quality DESC, item) = 1 AS won, CASE WHEN side = 'unknown' THEN 0 ELSE 1 END + CASE WHEN light = '' THEN 0 ELSE 1 END AS known FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY won DESC, CASE WHEN won THEN known ELSE 0 END DESC, quality DESC, item) AS k FROM w),
+st AS (SELECT label, k, item, [v] AS kept, true AS ok FROM o WHERE k = 1
+  UNION ALL SELECT label, k, item, CASE WHEN ok THEN list_append(kept, v) ELSE kept END, ok FROM (
+    SELECT o.label, o.k, o.item, o.v, s.kept, len(s.kept) < 6 AND (o.won OR len(list_filter(s.kept, lambda x: 1 - list_cosine_similarity(x, o.v) < 0.8)) = 0) AS ok FROM st s JOIN o ON o.label = s.label AND o.k = s.k + 1))
+SELECT label, item FROM st WHERE ok""")
+def attribute_diverse_selection(spark, d):
+    """Exemplars of distinct attributes, filled up by distance."""
+    i = F.col("item")
+    side = F.when(i % 3 == 0, "unknown").otherwise(F.concat(F.lit("side"), (i % 2).cast("string")))
+    light = F.when(F.col("label") % 2 == 0, "").otherwise(F.concat(F.lit("light"), (i % 7).cast("string")))
+    return K.attribute_diverse(_items(spark, d).withColumns({"side": side, "light": light}), ["label"], ["side", "light"], 6, 0.8)
+
+
+@query(f"""WITH RECURSIVE {VECTORS}, u AS (SELECT label, item, quality, item % 11 <> 0 AS h, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+f AS (SELECT label, item, v, h FROM u QUALIFY row_number() OVER (PARTITION BY label ORDER BY quality DESC, item) = 1),
+g AS (SELECT f.label, f.item, list({{'item': u.item, 'v': u.v, 'h': u.h, 'far': CASE WHEN u.item = f.item THEN -9.0 WHEN NOT u.h OR NOT f.h THEN NULL ELSE 1 - list_dot_product(u.v, f.v) END}} ORDER BY u.quality DESC, u.item) AS items FROM f JOIN u ON u.label = f.label GROUP BY 1, 2),
+st AS (SELECT label, item, 0 :: BIGINT AS pick, items FROM g
+  UNION ALL SELECT label, nx.item, pick + 1, list_transform(items, lambda x: {{'item': x.item, 'v': x.v, 'h': x.h, 'far': CASE WHEN x.item = nx.item OR x.far = -9.0 THEN -9.0 WHEN NOT x.h OR NOT nx.h THEN x.far ELSE least(coalesce(x.far, 9.0), 1 - list_dot_product(x.v, nx.v)) END}})
+  FROM (SELECT *, list_filter(items, lambda x: coalesce(round(x.far, 9), -1.0) = list_max(list_transform(items, lambda y: coalesce(round(y.far, 9), -1.0))))[1] AS nx FROM st WHERE pick < 5))
+SELECT label, item, pick FROM st""")
+def max_min_selection(spark, d):
+    """A subset that spreads: the best item, then the farthest ones."""
+    items = _items(spark, d).withColumn("vec", F.when(F.col("item") % 11 != 0, F.col("vec")))
+    return K.max_min_subset(items, ["label"], 6)
+
+
 @query(f"""WITH RECURSIVE {VECTORS}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY item) AS k FROM e),
 st AS (SELECT label, k, item, [{{'item': item, 'v': v}}] AS kept, item AS into FROM o WHERE k = 1
   UNION ALL SELECT label, k, item, CASE WHEN near IS NULL THEN list_append(kept, {{'item': item, 'v': v}}) ELSE kept END, coalesce(near, item) FROM (
