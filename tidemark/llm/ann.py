@@ -17,8 +17,8 @@ and no key can be hot.
 How many places a query gathers is a share of the block, fitted to ``target_recall``
 on a bounded sample: the exact neighbours among all rows of ``SAMPLE_QUERIES`` vectors, and the
 strings of ``SAMPLE_ROWS`` rows that stand for a block. The nearer the neighbours of a table lie, the smaller
-the share: on vectors without any structure (64 dimensions, neighbours at a cosine of 0.4)
-it is an eighth of the rows, on clustered ones far less.
+the share. On the test vectors, which have hardly any structure (64 dimensions, twentieth neighbour at a cosine of 0.36
+to 0.42), a query gathers 45 % of 10,256 rows and 30 % of 51,282; it falls as neighbours draw nearer.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold a
 null or a non-finite component take no part; ties go to the smaller id; with
@@ -42,7 +42,7 @@ TREES = 160
 SAMPLE_ROWS = 4096
 SAMPLE_QUERIES = 128
 #: Places gathered over all trees, as shares of a block's rows.
-SHARES = (0.002, 0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.14, 0.17, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0)
+SHARES = (0.002, 0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.14, 0.17, 0.2, 0.22, 0.24, 0.26, 0.28, 0.3, 0.33, 0.36, 0.4, 0.45, 0.5, 0.6, 0.7, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0)
 
 
 def directions(dim: int, trees: int, seed: int) -> np.ndarray:
@@ -229,7 +229,7 @@ def nearest(
     trees: int = TREES,
     block_rows: int = 8192,
     block_queries: int = 8192,
-    target_recall: float = 0.94,
+    target_recall: float = 0.93,
     seed: int = 11,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of each query's ``k`` nearest found among ``vectors``."""
