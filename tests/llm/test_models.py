@@ -386,3 +386,28 @@ def test_pipeline(spark):
             assert kept.count() == before and kept.where("text like '%@mail%'").count() == 0
     packed = corpus_pipeline.run(spark, SF)
     assert packed.count() > 0 and packed.where("offset + length > 4096").count() == 0
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, edge_docs, no_docs):
+    """Each stage on all that the one before kept: columns of documents, nothing clean lost, and no rows from no rows."""
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs, empty = edge_docs, no_docs
+    before = edge_docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        docs, empty = stage(spark, docs, SF).checkpoint(), stage(spark, empty, SF).checkpoint()
+        assert empty.count() == 0
+        if name == "packing":
+            break
+        assert docs.columns == names
+        n = docs.count()
+        if name == "language":
+            assert n == sum(any(c.isalpha() for c in r.text or "") for r in edge_docs.collect())
+        elif name == "neardup":
+            assert 0 < n < before
+        elif name == "pii":
+            assert n == before
+        before = n
+    assert docs.where("offset + length > 4096").count() == 0
+    assert docs.count() >= docs.select("sequence_id").distinct().count() > 0
