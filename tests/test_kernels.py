@@ -158,3 +158,12 @@ def test_stream_equals_batch(spark, tmp_path):
     frame(spark, rows, "story long, idx long").repartition(3).write.parquet(str(tmp_path / "turns.parquet"))
     got = {(r.story, r.idx): (r.sources, r.n_seen) for r in causal.drained(causal.answers(causal.read_stream(spark, str(tmp_path), "turns"), 2)).collect()}
     assert got == {(s, i): (",".join(str(j) for j in (i - 1, i - 2) if j >= 0), i) for s, i in rows}
+
+
+def test_farthest_points_of_groups_of_any_size(spark):
+    """Picks by rounds are those of one task a group."""
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("label % 3 as label", "vec_id as item", "embedding as vec")
+    key = lambda df: sorted((r.label, r.pick, r.item) for r in df.collect())
+    for novelty in (0.0, 0.95):
+        small = kernels.farthest_points(e, ["label"], 4, novelty)
+        assert key(small) == key(kernels.farthest_points(e, ["label"], 4, novelty, limit=0))
