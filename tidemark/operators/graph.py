@@ -9,10 +9,10 @@ from tidemark.sources.checkpoints import durable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is linked to the node's smallest neighbour."""
+    """Every neighbour above a node is linked to the node's smallest neighbour; a link may come more than once."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the distinct edges are stars: no node is linked to two smaller ones, or to smaller and larger ones."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    sums = ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return sums.where("below > 1 or (below > 0 and above > 0)").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the long pairs (u, v); component is its smallest node.
 
@@ -33,13 +42,19 @@ def components(edges: DataFrame) -> DataFrame:
     whole = F.col("u").isNotNull() & F.col("v").isNotNull()
     ends = edges.select(F.when(whole, F.greatest("u", "v")).alias("u"), F.when(whole, F.least("u", "v")).alias("v"))
     now = durable(ends.where("u > v").distinct())
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(now)
-    while before[0]:
+    while not _settled(now):
         now = durable(_small_star(_large_star(now)))
-        after = mark(now)
-        if after == before:
-            break
-        before = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` (node, component) after more ``links`` (u, v): only the components that these join are walked."""
+    ends = links
+    for end in ("u", "v"):
+        side = found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        ends = ends.join(side, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    merged = durable(components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
+    tops = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = found.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return old.unionByName(merged.join(found.select("node"), "node", "left_anti"))
