@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.graph import components
+from tidemark.operators.graph import components, joined_components
 
 from .common import WordHash, binary, durable, hand_back, mix, window_hashes, word_hashes
 
@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: in
         .mapInArrow(_full_sets(width), "node long, full array<long>")
     )
     pending = durable(pivot_pairs(lists))
-    links, comps = None, None
+    comps = None
     for turn in range(rounds):
         todo = pending
         if turn < rounds - 1:  # two pivots for each document first; what they link needs no more
@@ -421,15 +421,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, k: int = SKETCH, shared: in
             ends = pending.groupBy("u").agg(F.min(order).alias("a"), F.max(order).alias("b"))
             todo = ends.select("u", F.explode(F.array_distinct(F.array("a.v", "b.v"))).alias("v"))
         todo = durable(todo)
-        found = verified(todo, sets, k, shared)
-        links = durable(found if links is None else links.unionByName(found))
-        comps = durable(components(links))
+        found = durable(verified(todo, sets, k, shared))
+        comps = durable(components(found) if comps is None else joined_components(comps, found))
         pending = durable(_apart(pending.join(todo, ["u", "v"], "left_anti"), comps))
         if pending.isEmpty():
             break
     late = durable(remaining_links(lists, comps, classes, sets, k, shared))
     if not late.isEmpty():
-        comps = durable(components(links.unionByName(late)))
+        comps = durable(joined_components(comps, late))
     labels = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = labels.select("set_key", "component").join(ids, "component").select("set_key", "component_id")
