@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, language, mixing, neardup, packing, pii, quality, secrets, substring, urls
+from . import ann, language, mixing, neardup, packing, periodic, pii, quality, secrets, substring, urls
 
-MODULES = (mixing, ann, quality, pii, neardup, secrets, substring, language, urls, packing)
+MODULES = (mixing, ann, quality, pii, neardup, secrets, substring, language, urls, packing, periodic)
 
 
 def queries() -> dict:
