@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, language, mixing, neardup, packing, periodic, pii, quality, repair, secrets, substring, urls
+from . import ann, language, licenses, mixing, neardup, packing, periodic, pii, quality, repair, secrets, substring, urls
 
-MODULES = (mixing, ann, quality, pii, neardup, secrets, substring, language, urls, packing, periodic, repair)
+MODULES = (mixing, ann, quality, pii, neardup, secrets, substring, language, urls, packing, periodic, licenses, repair)
 
 
 def queries() -> dict:
