@@ -18,6 +18,7 @@ def edge_rows(seed: int = 3) -> list[tuple]:
     passage = prose(rng, 30)
     texts += [f"{prose(rng, 20)} {passage} {prose(rng, 9)}" for _ in range(5)]
     texts += [prose(rng, 6000), "x" * 50_000, "word " * 3000, "7" * 20_000, "line\nline\nother\nline\n" * 30]
+    texts += ["0" * 5000 + ".1.1.1 and " + "9" * 5000 + ".1.1.1", f"{base[4]} {passage}"]
     rows = []
     for i, t in enumerate(texts):
         lang = [None, "en", "de"][i % 3]

@@ -137,6 +137,12 @@ def test_pii_base(text):
     assert found == slow_pii(text)
 
 
+def test_long_runs_of_digits():
+    """Longer than int() reads: leading zeros don't count, other digits are too many."""
+    assert [s[:3] for s in pii.find_spans("0" * 5000 + ".1.1.1")] == [("ip", 0, 5006)]
+    assert not [s for s in pii.find_spans("9" * 5000 + ".1.1.1 1.1.1." + "8" * 6000) if s[0] == "ip"]
+
+
 def test_pii_kinds():
     text = "Pay to IBAN GB82 WEST 1234 5698 7654 32 today, card 4111 1111 1111 1111, ssn 123-45-6789, mail a.b@c.org, 10.0.0.1, +1 (523) 555-1055"
     kinds = [s[0] for s in pii.find_spans(text)]

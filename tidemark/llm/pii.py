@@ -81,7 +81,7 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 def ips(text: str) -> Iterator[tuple[int, int]]:
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             yield m.span()
 
 
