@@ -132,8 +132,8 @@ def mix(
     row where a source's target ends).
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    # Rows without an id are told apart by their texts, so that they don't share a block.
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("salt")
+    # Rows of one id, or of none, are told apart by their texts: they don't share a block, and their order is the same in every run.
+    salt = F.xxhash64("text").alias("salt")
     sized = docs.select(*keep, F.col("source").cast("string").alias("source"), words.alias("size"), salt)
     sized = durable(sized)
     targets = durable(source_targets(sized, weights, total_share, most_repeats))
