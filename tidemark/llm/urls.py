@@ -8,8 +8,8 @@ The cascade answers that without a join. The universe is every key of the corpus
 the other keys of the universe that level 1 wrongly finds; level 3 the listed ones
 that level 2 wrongly finds; and so on until nothing is wrongly found. Over the
 complete key universe it was built from, it answers exactly. Levels shrink
-geometrically. Each is an array of words held as a constant in the plan, so its
-size is bounded: lists of more than ``max_bits`` bits are cut into shards by a hash of the key, pages and
+geometrically from the second on; that one grows with the universe. Each is an array of words held as a constant in the plan, so its
+size is bounded: where the first two need more than ``max_bits`` bits, keys are cut into shards by a hash of the key, pages and
 universe are written to the shared folder by shard, and every shard has a cascade of its own
 that is built and asked alone. So no list is too large for the plan or the driver.
 
@@ -40,10 +40,12 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: The list of the query: urls whose host has one of these words between dots and dashes.
-LISTED_WORDS = ("ads", "adult", "bet", "bets", "casino", "escort", "gambling", "pills", "poker", "porn", "spam", "viagra", "xxx")
+#: The list of the query: keys whose MD5 with this suffix begins with one of these digits, an eighth of all keys.
+LISTED_SUFFIX, LISTED_DIGITS = "#listed", ("0", "1")
 BITS_PER_KEY = 10
 HASHES = 4
+#: A level wrongly finds less than this share of what is not in it, and the next level holds that.
+WRONG = 0.02
 
 
 @dataclass(frozen=True)
@@ -130,10 +132,15 @@ def key_universe(keys: DataFrame, list_: DataFrame) -> DataFrame:
     return every.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("listed").alias("listed"))
 
 
+def shards_for(listed_keys: int, others: int, max_bits: int) -> int:
+    """How many shards keep the first level (listed keys) and the second (others that it wrongly finds) within ``max_bits``."""
+    return max(1, -(-max(listed_keys, int(others * WRONG)) * BITS_PER_KEY // max_bits))
+
+
 def with_membership(rows: DataFrame, list_: DataFrame, max_bits: int = 1 << 24) -> DataFrame:
     """``rows`` with ``listed``: whether their ``key`` (not null) is a key of ``list_``."""
     universe = durable(key_universe(rows, list_))
-    shards = max(1, -(-universe.where("listed").count() * BITS_PER_KEY // max_bits))
+    shards = shards_for(*universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first(), max_bits)
     if shards == 1:
         return rows.withColumn("listed", listed(F.col("key"), build_cascade(universe)))
     folder = f"{shared_folder(rows.sparkSession)}/cascade-{uuid.uuid4().hex}"
@@ -166,15 +173,15 @@ def url_filter(pages: DataFrame, list_: DataFrame, rules=RULES, max_bits: int =
     )
 
 
-def listed_by_words(pages: DataFrame, words=LISTED_WORDS) -> DataFrame:
-    """The keys of the pages on hosts with one of ``words``: a list for the query."""
-    rows = parsed(pages)
-    return rows.where(F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, words)))).select("key").distinct()
+def listed_by_hash(pages: DataFrame, suffix: str = LISTED_SUFFIX, digits=LISTED_DIGITS) -> DataFrame:
+    """A list for the query: the pages' keys chosen one by one by a keyed hash, so that no rule of words or hosts gives it."""
+    chosen = F.substring(F.md5(F.concat("key", F.lit(suffix))), 1, 1).isin(*digits)
+    return parsed(pages).where(chosen).select("key").distinct()
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return url_filter(pages, listed_by_words(pages))
+    return url_filter(pages, listed_by_hash(pages))
 
 
 OP9_SQL = f"""
@@ -194,11 +201,13 @@ WITH cut AS (
     WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/'
   END AS rule
   FROM parsed
+), listed AS (
+  SELECT DISTINCT host || path AS key FROM parsed WHERE substr(md5(host || path || '{LISTED_SUFFIX}'), 1, 1) IN {LISTED_DIGITS}
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block'
   WHEN rule IS NOT NULL THEN 'allow'
-  WHEN list_has_any(string_split_regex(host, '[.-]'), {list(LISTED_WORDS)}) THEN 'block' ELSE 'allow' END AS verdict
+  WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
 
