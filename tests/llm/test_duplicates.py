@@ -158,3 +158,15 @@ def test_repeated_windows(edge_docs, no_docs, monkeypatch):
         got = substring.remove_repeats(edge_docs, bucket_size=500).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     assert substring.remove_repeats(no_docs).count() == 0
+
+
+def test_texts_that_share_an_id_lose_only_their_own_words(spark, monkeypatch):
+    w, x, y = ([f"{p}{i}" for i in range(40)] for p in "wxy")
+    rows = [(1, w), (2, w[:20]), (2, y), (2, [*y[:15], *x[:20]]), (3, x), (3, [*x[5:30], *y[2:30]]), (3, x), (1, y[20:])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    want = slow_removal(docs.collect())
+    assert [r[3] for r in want if r[1] == 2] == [20, 20, 0] or sorted(r[3] for r in want if r[1] == 2) == [0, 20, 20]
+    for batch in (1_000_000, 30):
+        monkeypatch.setattr(substring, "BATCH", batch)
+        got = substring.remove_repeats(docs, bucket_size=50).collect()
+        assert sorted((False, r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want

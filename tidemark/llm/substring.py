@@ -26,7 +26,7 @@ a task; no document is paired with another.
 
 Edge cases: a null or empty text has no words; texts shorter than a window lose
 none; of copies, the one of smallest doc_id stays whole; rows that share a doc_id
-are judged as one document against the others; rows with a null doc_id are
+are judged each by its own text, against documents of smaller doc_id; rows with a null doc_id are
 compared with nothing and lose nothing; an empty table gives no rows; further
 columns are ignored.
 """
@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, binary, durable, hand_back, mix, window_hashes, word_hashes
@@ -50,6 +50,8 @@ BLOCK = 7
 BUCKET = 3_000_000
 #: Probes that a task gathers before it deals them out.
 BATCH = 1_000_000
+#: A row: its doc_id, and a hash of its text that tells rows of one doc_id apart.
+ROW = np.dtype([("doc", np.int64), ("key", np.int64)])
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ def _grouped(doc: np.ndarray, *h: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _by_document(doc: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Runs of a document (its id, its number of values) and the values."""
+    """Runs of a document or row (its id, its number of values) and the values."""
     starts = _runs(doc)
     counts = np.diff(np.append(starts, len(doc)))
     return doc[starts].tobytes(), counts.astype(np.uint32).tobytes(), values.tobytes()
@@ -81,7 +83,8 @@ PARTS_SCHEMA = "bucket int, ids binary, counts binary, values binary, more binar
 
 def _told(doc: np.ndarray, values: np.ndarray, buckets: int) -> tuple:
     """A row that needs no answer; it travels with the others, to a bucket beside theirs."""
-    return buckets + int(doc[0]) % buckets, *_by_document(doc, values), None
+    first = int(doc["doc"][0] if doc.dtype == ROW else doc[0])
+    return buckets + first % buckets, *_by_document(doc, values), None
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -163,8 +166,13 @@ def _joined(rows: pd.DataFrame, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
 
 
-def _documents(rows: pd.DataFrame) -> np.ndarray:
-    return np.repeat(_joined(rows, "ids", np.int64), _joined(rows, "counts", np.uint32))
+def _documents(rows: pd.DataFrame, ids=np.int64) -> np.ndarray:
+    return np.repeat(_joined(rows, "ids", ids), _joined(rows, "counts", np.uint32))
+
+
+def _sorted(ids: np.ndarray, *after: np.ndarray) -> np.ndarray:
+    """Order of documents or rows within the order of ``after``."""
+    return np.lexsort((ids["key"], ids["doc"], *after) if ids.dtype == ROW else (ids, *after))
 
 
 PACKED = ["part", "ids", "counts", "values"]
@@ -173,8 +181,9 @@ PACKED_SCHEMA = "part int, ids binary, counts binary, values binary"
 
 def _answer(doc: np.ndarray, values: np.ndarray, parts: int) -> pd.DataFrame:
     """A row for each part that the documents (in ascending runs) belong to."""
-    part = (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-    order = np.lexsort((doc, part))
+    ids = np.ascontiguousarray(doc["doc"]) if doc.dtype == ROW else doc
+    part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = _sorted(doc, part)
     rows = []
     if len(doc):
         starts = _runs(part[order])
@@ -183,14 +192,16 @@ def _answer(doc: np.ndarray, values: np.ndarray, parts: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=PACKED)
 
 
-def _unpacker(kind: type):
+def _unpacker(kind: type, ids):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """doc_id, found: one row for each document of a part."""
-        doc, values = _documents(rows), _joined(rows, "values", kind)
-        order = np.argsort(doc, kind="stable")
+        """doc_id (and text_key), found: one row for each document or row of a part."""
+        doc, values = _documents(rows, ids), _joined(rows, "values", kind)
+        order = _sorted(doc)
         doc, values = doc[order], values[order]
         starts = _runs(doc)
-        return pd.DataFrame({"doc_id": doc[starts], "found": [x.tobytes() for x in np.split(values, starts[1:])]})
+        first = doc[starts]
+        names = {"doc_id": first["doc"], "text_key": first["key"]} if ids == ROW else {"doc_id": first}
+        return pd.DataFrame(names | {"found": [x.tobytes() for x in np.split(values, starts[1:])]})
 
     return run
 
@@ -209,18 +220,19 @@ def _answer_probes(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return doc[hit], low[hit]
 
 
-def _deal_windows(doc: np.ndarray, place: np.ndarray, full: np.ndarray, more: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _deal_windows(who: np.ndarray, place: np.ndarray, full: np.ndarray, more: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Windows of each fingerprint's first document in the task for its bucket; later documents lose theirs at once."""
+    doc = who["doc"]
     order, run, least, _ = _grouped(doc, full, more)
     late = np.zeros(len(full), dtype=bool)
     late[order] = doc[order] > least[run]
     rows = []
     if late.any():
-        rows.append(_told(doc[late], place[late], buckets))
+        rows.append(_told(who[late], place[late], buckets))
     early = np.flatnonzero(~late)
     for bucket, at in _per_bucket(full[early], buckets):
         at = early[at]
-        rows.append((bucket, *_by_document(doc[at], place[at]), full[at].tobytes() + more[at].tobytes()))
+        rows.append((bucket, *_by_document(who[at], place[at]), full[at].tobytes() + more[at].tobytes()))
     return _rows(rows)
 
 
@@ -231,7 +243,7 @@ def _candidates(window: int, block: int, buckets: int):
         found: list[tuple] = []
         waiting = 0
         for batch in batches:
-            for doc, raw, hits in zip(batch.column(0).to_pylist(), binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for doc, key, raw, hits in zip(*(batch.column(k).to_pylist() for k in (0, 1)), binary(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 h = word_hashes(raw.split(), table)
                 wanted = np.unique(np.frombuffer(hits, np.uint32))
                 low = window_hashes(h, block).astype(np.uint32)
@@ -241,7 +253,7 @@ def _candidates(window: int, block: int, buckets: int):
                 place = np.flatnonzero(near[span : span + n] > near[:n]) if n > 0 else np.empty(0, np.int64)
                 if len(place):
                     prints = (window_hashes(x, window, seed=1)[place] for x in (h, mix(h)))
-                    found.append((np.full(len(place), doc, dtype=np.int64), place.astype(np.int32), *prints))
+                    found.append((np.full(len(place), np.array((doc, key), dtype=ROW)), place.astype(np.int32), *prints))
                     waiting += len(place)
                 if waiting >= BATCH:
                     yield _deal_windows(*map(np.concatenate, zip(*found, strict=True)), buckets)
@@ -255,32 +267,34 @@ def _candidates(window: int, block: int, buckets: int):
 
 
 def _answer_windows(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and places of the windows of a bucket that also start in a document of smaller doc_id."""
-    doc, place = _documents(rows), _joined(rows, "values", np.int32)
+    """Rows and places of the windows of a bucket that also start in a document of smaller doc_id."""
+    who, place = _documents(rows, ROW), _joined(rows, "values", np.int32)
+    doc = who["doc"]
     prints = [np.split(np.frombuffer(x, np.uint64), 2) for x in rows["more"]]
     full, more = (np.concatenate(x) for x in zip(*prints, strict=True))
     order, run, least, _ = _grouped(doc, full, more)
     late = np.zeros(len(full), dtype=bool)
     late[order] = doc[order] > least[run]
-    return doc[late], place[late]
+    return who[late], place[late]
 
 
-def _answers(answer, kind: type, parts: int):
+def _answers(answer, kind: type, ids, parts: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         told = rows["more"].isna()
         found = [answer(rows[~told])] if not told.all() else []
-        found += [(_documents(rows[told]), _joined(rows[told], "values", kind))] if told.any() else []
+        found += [(_documents(rows[told], ids), _joined(rows[told], "values", kind))] if told.any() else []
         return _answer(*map(np.concatenate, zip(*found, strict=True)), parts)
 
     return run
 
 
-def _exchange(rows: DataFrame, buckets: int, answer, kind: type) -> DataFrame:
-    """doc_id, found: what the tasks told and what the buckets answer, gathered for each document."""
+def _exchange(rows: DataFrame, buckets: int, answer, kind: type, ids=np.int64) -> DataFrame:
+    """doc_id (and text_key), found: what the tasks told and what the buckets answer, gathered for each document or row."""
     packed = rows.repartition(2 * buckets, "bucket").groupBy("bucket").applyInPandas(
-        _answers(answer, kind, buckets), PACKED_SCHEMA
+        _answers(answer, kind, ids, buckets), PACKED_SCHEMA
     )
-    return packed.groupBy("part").applyInPandas(_unpacker(kind), "doc_id long, found binary")
+    names = "doc_id long, text_key long" if ids == ROW else "doc_id long"
+    return packed.groupBy("part").applyInPandas(_unpacker(kind, ids), f"{names}, found binary")
 
 
 def _cut(window: int):
@@ -309,8 +323,12 @@ def _cut(window: int):
     return run
 
 
+def text_key() -> Column:
+    return F.xxhash64("text").alias("text_key")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bucket_size: int = BUCKET) -> DataFrame:
-    """doc_id, found: places (32-bit) of windows whose words also start in a document of smaller doc_id."""
+    """doc_id, text_key, found: places (32-bit) in rows of that id and text of windows whose words also start in a document of smaller doc_id."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it stands")
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
@@ -322,18 +340,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK,
     hits = durable(_exchange(probes, buckets, _answer_probes, np.uint32))
     windows = (
         texts.join(hits.hint("shuffle_hash"), "doc_id")
-        .select("doc_id", "text", "found")
+        .select("doc_id", text_key(), "text", "found")
         .mapInArrow(_candidates(window, block, buckets), PARTS_SCHEMA)
     )
-    return durable(_exchange(windows, buckets, _answer_windows, np.int32))
+    return durable(_exchange(windows, buckets, _answer_windows, np.int32, ROW))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bucket_size: int = BUCKET) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of what is kept, for every row."""
     places = repeated_windows(docs, window, block, bucket_size)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text")
     return (
-        texts.join(places.hint("shuffle_hash"), "doc_id", "left")
+        texts.join(places.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
         .select("doc_id", "text", "found")
         .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     )
