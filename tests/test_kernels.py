@@ -63,8 +63,9 @@ def test_clusters_and_selection(spark):
     assert {r.item: r.cluster for r in kernels.running_clusters(items, ["label"], 0.9).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
     picks = [r.item for r in kernels.farthest_points(items, ["label"], 3).orderBy("pick").collect()]
     assert picks[0] == 2 and len(set(picks)) == 3 and 0 in picks and 4 in picks
+    assert kernels.farthest_points(items, ["label"], 3, limit=2).orderBy("pick").collect() == kernels.farthest_points(items, ["label"], 3).orderBy("pick").collect()
     with pytest.raises(Exception, match="kernel takes"):
-        kernels.farthest_points(items, ["label"], 3, limit=2).collect()
+        kernels.non_redundant(items, ["label"], 3, 0.5, limit=2).collect()
 
 
 def test_boxes_and_tracks(spark):
@@ -167,3 +168,21 @@ def test_farthest_points_of_groups_of_any_size(spark):
     for novelty in (0.0, 0.95):
         small = kernels.farthest_points(e, ["label"], 4, novelty)
         assert key(small) == key(kernels.farthest_points(e, ["label"], 4, novelty, limit=0))
+
+
+def test_farthest_points_of_a_null_key(spark):
+    """A null key is a group like others in both ways, ties and all."""
+    rows = [(k, i, [1.0, float(i % 3)]) for k in (None, 1) for i in range(9)]
+    e = frame(spark, rows, "label long, item long, vec array<double>")
+    key = lambda df: sorted(((r.label is None, r.pick, r.item) for r in df.collect()))
+    small = key(kernels.farthest_points(e, ["label"], 3))
+    assert len(small) == 6 and small == key(kernels.farthest_points(e, ["label"], 3, limit=0))
+
+
+def test_coverage_fills_are_evenly_rounded(spark):
+    """First, returns, and fills at round(i * (n - 1) / (need - 1)), halves to even; all if there is room."""
+    cases = {"a": (list(range(12)), 5, [0, 1, 4, 8, 11]), "b": ([0, 5, 9, 10], 8, [0, 5, 9, 10]), "c": ([3, 4, 5], 2, [3, 4]), "d": ([0, 2, 4, 6], 2, [0, 2]), "e": (list(range(6)), 3, [0, 1, 5])}
+    for eid, (idx, cap, want) in cases.items():
+        rows = spark.createDataFrame([(1, i, eid, "prop") for i in idx], "story long, idx long, eid string, kind string")
+        got = timeline.coverage_selection(rows, cap).orderBy("idx").collect()
+        assert [r.idx for r in got] == want, eid

@@ -117,3 +117,17 @@ def test_conflicts_between_entities(spark):
         return [r.kept for r in annotation.conflict_winners(df, 0.95, 0.15).orderBy("item").collect()]
 
     assert gate(0.5, 0.5) == [False, False] and gate(0.9, 0.2) == [True, False] and gate(0.3) == [True]
+
+
+def test_chunks_that_are_not_there(spark):
+    """A layout without chunks, and chunks without a forbidden table, are findings too."""
+    ents = spark.createDataFrame([(m, "prop_kite", "prop", "Kite") for m in (4, 5, 6)], "movie long, entity_id string, kind string, name string")
+    reps = spark.createDataFrame([], "movie long, entity_id string, kind string, representation_id string, chunk_id long, bbox array<long>, bbox_source string, embedding_key string, crop_path string")
+    events = spark.createDataFrame([(6, "prop_kite", "ev_torn", 0, ["prop_kite@c000"]), (6, "prop_kite", "ev_late", 2, ["prop_kite@c001"])], "movie long, entity_id string, event_id string, chunk_id long, deprecates array<string>")
+    forbidden = "forbidden array<struct<representation_id:string,reason:string>>"
+    rows = [(m, c, ["prop_kite"], [], "Walk on.", [("prop_kite", "continuity")], f) for m, c, f in [
+        (5, 0, None), (6, 0, None), (6, 1, None), (6, 2, [("prop_kite@c000", "ev_torn"), ("prop_kite@c000", "ev_torn")]), (6, 3, [("prop_kite@c000", "ev_torn")])]]
+    chunks = spark.createDataFrame(rows, f"movie long, chunk_id long, present array<string>, first_appearances array<string>, prompt string, instructions array<struct<entity_id:string,requirement:string>>, {forbidden}")
+    movies = spark.createDataFrame([(4, "seeded", True, 5, []), (5, "seeded", True, 1, []), (6, "seeded", True, None, [])], "movie long, roster_mode string, production_mode boolean, layout_chunks long, flagged array<int>")
+    got = {(r.movie, r.code, r.path) for r in lint.chunk_rules(ents, reps, events, chunks, movies).collect()}
+    assert got == {(4, "layout_chunk_count_mismatch", ""), (6, "forbidden_mismatch", "chunks[1]"), (6, "forbidden_mismatch", "chunks[3]")}

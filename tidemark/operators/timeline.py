@@ -113,9 +113,12 @@ def coverage_selection(presence: DataFrame, cap: int) -> DataFrame:
     fill = Window.partitionBy("story", "eid", "must").orderBy("idx")
     rows = rows.withColumn("pos", F.row_number().over(fill) - 1).withColumn("n_fill", F.count(F.lit(1)).over(own) - F.col("n_must"))
     room = F.greatest(F.lit(0), F.lit(cap) - F.col("n_must"))
-    # The i-th of n fills is taken if the even spacing of `room` picks moves on at it.
-    picked = F.floor((F.col("pos") + 1) * room / F.col("n_fill")) > F.floor(F.col("pos") * room / F.col("n_fill"))
-    rows = rows.where(F.col("must") | ((F.col("n_fill") > 0) & picked)).withColumn(
+    # Of n fills, the places round(i * (n - 1) / (room - 1)) for i = 0 .. room - 1, halves to the even one; all of them if there is room.
+    step = (F.col("n_fill") - 1) / F.greatest(room - 1, F.lit(1))
+    near = F.floor(F.try_divide("pos", step))
+    at = lambda i: (i >= 0) & (i < room) & (F.bround(i * step) == F.col("pos"))
+    spaced = F.when(F.col("n_fill") <= room, F.lit(True)).otherwise(at(near) | at(near + 1))
+    rows = rows.where(F.col("must") | spaced).withColumn(
         "rank", F.row_number().over(own.orderBy("idx"))
     )
     return rows.where(F.col("rank") <= cap).select("story", "eid", "idx", "must", "rank")

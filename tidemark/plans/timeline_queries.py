@@ -112,7 +112,7 @@ m AS (SELECT *, gap IS NULL OR gap > 0 AS must FROM g),
 c AS (SELECT *, count(*) FILTER (must) OVER (PARTITION BY story, eid) AS n_must, count(*) OVER (PARTITION BY story, eid) AS n_all,
   row_number() OVER (PARTITION BY story, eid, must ORDER BY idx) - 1 AS pos FROM m),
 p AS (SELECT *, greatest(0, 8 - n_must) AS room, n_all - n_must AS n_fill FROM c),
-k AS (SELECT * FROM p WHERE must OR (n_fill > 0 AND floor((pos + 1) * room / n_fill) > floor(pos * room / n_fill))),
+k AS (SELECT * FROM p WHERE must OR n_fill <= room OR list_contains(list_transform(range(0, room), lambda i: CAST(round_even(i * (n_fill - 1) / greatest(room - 1, 1)::DOUBLE, 0) AS BIGINT)), pos)),
 r AS (SELECT story, eid, idx, must, row_number() OVER (PARTITION BY story, eid ORDER BY idx) AS rank FROM k)
 SELECT story, eid, idx, must, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8""")
 def coverage_selection(spark, d):
