@@ -10,6 +10,7 @@ from tidemark.operators import kernels as K
 from tidemark.operators import rules as R
 
 from .bindings import PRESENCE, TIMELINE, presence, table, timeline
+from .identity_queries import linked_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -235,7 +236,7 @@ def non_redundant_selection(spark, d):
     return K.non_redundant(_items(spark, d), ["label"], 5, 0.75)
 
 
-@query()
+@query(f"""WITH RECURSIVE {linked_sql(0.25)} SELECT label, item, cluster FROM cl""")
 def agglomerative_clusters(spark, d):
     """Complete-link clusters of each kind."""
     return K.link_clusters(_items(spark, d), ["label"], 0.25)
