@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import vectors as VEC
-from tidemark.operators import joins, kernels, rules, similarity, timeline
+from tidemark.operators import graph, joins, kernels, rules, similarity, timeline
 from tidemark.sources import contracts
 from tidemark.streaming import causal
 
@@ -186,3 +186,20 @@ def test_coverage_fills_are_evenly_rounded(spark):
         rows = spark.createDataFrame([(1, i, eid, "prop") for i in idx], "story long, idx long, eid string, kind string")
         got = timeline.coverage_selection(rows, cap).orderBy("idx").collect()
         assert [r.idx for r in got] == want, eid
+
+@pytest.mark.parametrize("part", [40, 1 << 20])
+def test_components_join_parts_of_any_size(spark, part):
+    rng = random.Random(part)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(200 + k, 201 + k) for k in range(60)] + [(300, k) for k in range(301, 340)]
+    edges += [(None, 5), (7, None), (8, 8), *edges[:10]]
+    of = {}
+    for u, v in edges:
+        if u is not None and v is not None and u != v:
+            a, b = of.setdefault(u, {u}), of.setdefault(v, {v})
+            if a is not b:
+                a |= b
+                for x in b:
+                    of[x] = a
+    got = graph.components(frame(spark, edges, "u long, v long").repartition(7), part).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((x, min(s)) for x, s in of.items())
+    assert graph.components(frame(spark, [], "u long, v long"), part).collect() == []
