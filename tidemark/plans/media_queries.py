@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, masks
-from tidemark.sources import tensors
+from tidemark.sources import packages, tensors
+from tidemark.sources.checkpoints import shared_folder
 
 from .bindings import table
 
@@ -69,3 +72,54 @@ def clip_similarities(spark, d):
     units = frames.select(F.col("clip").cast("string").alias("unit"), F.when(F.col("clip") % 2 == 0, "character").otherwise("location").alias("kind"), side(0).alias("a"), side(1).alias("b"))
     out = features.unit_similarities(units, found, {"dino_crop": ["character"], "location_dino": ["character", "location"]})
     return out.withColumn("sim", F.round("sim", 6))
+
+
+def shipped(spark, d):
+    """movies, files, findings: a movie for each part, its files with faults by its number, findings from the lineitems."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("movie"))
+    k, i = F.col("movie"), F.col("i")
+    names = F.array(*map(F.lit, packages.REQUIRED))
+    files = p.select("movie", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).where((k + i) % 17 != 0).select(
+        "movie", F.get(names, i).alias("file"), F.when(i.isin(1, 3, 4), F.when((k % 11 == 0) & (i == 1), "").when((k % 13 == 0) & (i == 3), "v2").otherwise("v1")).alias("schema_version"),
+        F.when((i == 1) & (k % 7 != 0), F.format_string("h%d", k)).alias("layout_hash"), F.when(i >= 3, k % 5 != i - 3).alias("human_reviewed"),
+    )
+    findings = table(spark, d, "lineitem").where("l_quantity <= 2").select(F.col("l_partkey").alias("movie"), F.col("l_linestatus").alias("code"), F.when(F.col("l_returnflag") == "A", "error").otherwise("warning").alias("severity"))
+    return p, files, findings
+
+
+SHIPPED = """i AS (SELECT p_partkey AS movie, i, ['manifest.json', 'gold/chunk_index.json', 'gold/shot_boundaries.csv', 'gold/entity_registry.json', 'gold/chunk_annotations.json'][i + 1] AS file,
+  (p_partkey + i) % 17 <> 0 AS there FROM part, range(5) t(i)),
+v AS (SELECT movie, CASE WHEN i = 1 AND movie % 11 = 0 THEN '' WHEN i = 3 AND movie % 13 = 0 THEN 'v2' ELSE 'v1' END AS version, i, file FROM i WHERE there AND i IN (1, 3, 4)),
+pf AS (SELECT movie, 'missing_file' AS code, file AS detail, 'missing' AS level FROM i WHERE NOT there
+UNION ALL SELECT movie, 'missing_schema_version', file, 'quality' FROM v WHERE version = ''
+UNION ALL SELECT movie, 'schema_version_mismatch', 'v1 / v2', 'quality' FROM v WHERE version <> '' GROUP BY movie HAVING count(DISTINCT version) > 1
+UNION ALL SELECT movie, 'missing_layout_hash', file, 'quality' FROM v WHERE i = 1 AND movie % 7 = 0
+UNION ALL SELECT movie, 'not_reviewed', file, 'unfrozen' FROM v WHERE i >= 3 AND movie % 5 = i - 3
+UNION ALL SELECT l_partkey, 'lint:' || l_linestatus, CAST(count(*) AS VARCHAR), 'quality' FROM lineitem WHERE l_quantity <= 2 AND l_returnflag = 'A' AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_partkey, l_linestatus)"""
+
+
+@query(f"WITH {SHIPPED} SELECT * FROM pf")
+def package_faults(spark, d):
+    """What keeps each movie from being published: files, versions, layout, review and lint."""
+    return packages.package_faults(*shipped(spark, d))
+
+
+@query(f"""WITH {SHIPPED}, n AS (SELECT DISTINCT p_partkey AS movie FROM part),
+c AS (SELECT n.movie, count(*) FILTER (level = 'missing') AS n_missing, count(*) FILTER (level = 'quality') AS n_quality, count(*) FILTER (level = 'unfrozen') AS n_unfrozen FROM n LEFT JOIN pf USING (movie) GROUP BY n.movie)
+SELECT *, CASE WHEN n_missing > 0 THEN 'missing' WHEN n_quality > 0 THEN 'quality' WHEN n_unfrozen > 0 THEN 'unfrozen' ELSE 'published' END AS outcome FROM c""")
+def package_verdicts(spark, d):
+    """Whether each movie may be published, and the gravest thing against it."""
+    movies, files, findings = shipped(spark, d)
+    return packages.package_verdicts(movies, packages.package_faults(movies, files, findings))
+
+
+@query("""SELECT 'part' AS name, p_partkey AS id, p_name AS text FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier""")
+def published_tables(spark, d):
+    """Two tables published as one package, as a reader finds them after the hashes of all files were verified."""
+    target = f"{shared_folder(spark)}/package-{uuid.uuid4().hex}"
+    packages.publish(spark, {n: table(spark, d, n) for n in ("part", "supplier")}, target)
+    if not packages.verify_package(spark, target).isEmpty():
+        raise packages.NotPublished(f"{target} is not as published")
+    found = packages.read_package(spark, target)
+    part, supplier = (found[n].select(F.lit(n).alias("name"), F.col(f"{k}key").alias("id"), F.col(f"{k[0]}_name").alias("text")) for n, k in (("part", "p_part"), ("supplier", "s_supp")))
+    return part.unionByName(supplier)
