@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, masks
-from tidemark.sources import packages, tensors
+from tidemark.sources import packages, selections, tensors
 from tidemark.sources.checkpoints import shared_folder
 
 from .bindings import table
@@ -123,3 +123,23 @@ def published_tables(spark, d):
     found = packages.read_package(spark, target)
     part, supplier = (found[n].select(F.lit(n).alias("name"), F.col(f"{k}key").alias("id"), F.col(f"{k[0]}_name").alias("text")) for n, k in (("part", "p_part"), ("supplier", "s_supp")))
     return part.unionByName(supplier)
+
+
+@query("""WITH r AS (SELECT l_partkey AS movie, l_linestatus AS system, CAST(l_suppkey % 4 AS INTEGER) AS chunk_id, l_orderkey * 10 + l_linenumber AS place,
+  CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 'c' || l_orderkey || '_' || l_linenumber END AS crop, CASE WHEN l_orderkey % 3 = 0 THEN '/a/' || l_orderkey || '_' || l_linenumber WHEN l_orderkey % 3 = 1 THEN '' END AS whole,
+  CASE WHEN l_orderkey % 10 = 0 THEN CAST(l_linenumber AS DOUBLE) END AS seconds FROM lineitem),
+i AS (SELECT *, CASE WHEN whole <> '' THEN whole ELSE crop END AS path FROM r)
+SELECT CAST(movie AS VARCHAR) AS movie, system, chunk_id, coalesce(string_agg(coalesce(path, '@' || seconds), ' ' ORDER BY place) FILTER (path IS NOT NULL OR seconds IS NOT NULL), '') AS images FROM i GROUP BY ALL""")
+def selection_round_trip(spark, d):
+    """The lineitems as selections: gathered to a document for each movie and system, and taken apart again."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    own = F.concat(k.cast("string"), F.lit("_"), n.cast("string"))
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("movie"), F.col("l_linestatus").alias("system"), (F.col("l_suppkey") % 4).cast("int").alias("chunk_id"), F.lit("p").alias("prompt"),
+        k.alias("item"), F.concat(F.lit("asset"), k.cast("string")).alias("asset_id"), n.alias("place"), F.lit(None).cast("string").alias("name"), F.lit("prop").alias("kind"),
+        F.when(k % 5 != 0, F.concat(F.lit("c"), own)).alias("crop_path"), F.when(k % 3 == 0, F.concat(F.lit("/a/"), own)).when(k % 3 == 1, "").alias("crop_abspath"),
+        F.when(k % 10 == 0, n.cast("double")).alias("source_seconds"),
+    )
+    parsed = selections.selection_documents(rows).select(F.from_json("document", selections.SELECTIONS).alias("x")).select("x.*")
+    shown = F.transform("images", lambda i: F.coalesce(i["path"], F.concat(F.lit("@"), i["seconds"].cast("string"))))
+    return selections.selected_images(parsed).select("movie", "system", "chunk_id", F.array_join(shown, " ").alias("images"))
