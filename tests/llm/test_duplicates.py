@@ -6,6 +6,7 @@ import re
 import numpy as np
 
 from tidemark.llm import neardup, substring
+from tidemark.sources import checkpoints
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -170,3 +171,25 @@ def test_texts_that_share_an_id_lose_only_their_own_words(spark, monkeypatch):
         monkeypatch.setattr(substring, "BATCH", batch)
         got = substring.remove_repeats(docs, bucket_size=50).collect()
         assert sorted((False, r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+
+
+def test_durable_ends_with_its_last_task(spark, tmp_path):
+    """A join with an empty side doesn't end before the tasks of its other side, whose shuffles go with the query."""
+    marks = str(tmp_path)
+
+    def slow(batches):
+        import os
+        import time
+        import uuid
+
+        time.sleep(3)
+        open(os.path.join(marks, uuid.uuid4().hex), "w").close()
+        yield from batches
+
+    none = spark.range(0, 100, 1, 2).where("id < 0")
+    some = spark.range(0, 100, 1, 2).repartition(2, "id").mapInArrow(slow, "id long")
+    rules = "spark.sql.adaptive.optimizer.excludedRules"
+    before = spark.conf.get(rules, None)
+    assert checkpoints.durable(none.join(some.hint("merge"), "id")).count() == 0
+    assert len(list(tmp_path.iterdir())) == 2
+    assert spark.conf.get(rules, None) == before
