@@ -220,3 +220,16 @@ def test_many_versions_without_a_path(spark, tmp_path):
     docs = spark.range(3000).selectExpr("cast(null as long) doc_id", "concat('text ', id % 1000) text")
     ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
     assert secrets.scan_blobs(docs, ledger).count() == 3000 and ledger.rows().count() == 1000
+
+
+def test_pii_goes_by_few_rows():
+    """However many rows a batch has, a worker holds the texts of a few at a time."""
+    import pyarrow as pa
+
+    texts = [f"mail a{i}@example.org" if i % 3 else None for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(pii._scanner(0.5, rewrite=True)(iter([batch, batch.slice(0, 0), batch.slice(0, 7)])))
+    assert max(map(len, parts)) <= 1024
+    table = pa.Table.from_batches(parts)
+    assert table["doc_id"].to_pylist() == [*range(5000), *range(7)]
+    assert table["text"].to_pylist() == [t and "mail <EMAIL>" for t in texts + texts[:7]]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import binary
+from .common import binary, hand_back
 
 WINDOW = 4096
 GRID = 64
@@ -273,6 +273,8 @@ def _packer(path: str, window: int, grid: int, buffer_tokens: int, id_type: pa.D
                     full, waiting = [], sum(p[2] for p in pieces)
         made, pieces = pack_pieces(pieces, window, grid)
         yield rows(docs, full + made + _powers(pieces, window), next_id)
+        docs = pieces = full = made = batch = ids = None
+        hand_back()
 
     return pack
 

@@ -24,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import hand_back
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national_id")
 CONTEXT = 60
+#: Rows whose texts a worker holds as Python objects at a time.
+ROWS = 1024
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: A run matches from its start on or not at all, so a look-behind skips its other positions.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -147,7 +151,8 @@ def redact(text: str | None, spans: list[tuple[str, int, int, float]]) -> str |
 
 def _scanner(threshold: float, rewrite: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        batch = kept = columns = texts = None
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
             texts, rows = [], []
             for value in batch.column("text"):
                 text = value.as_py()
@@ -168,6 +173,8 @@ def _scanner(threshold: float, rewrite: bool):
                 [*kept, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
                 names=[n for n in batch.schema.names if rewrite or n != "text"] + FOUND,
             )
+        del batch, kept, columns, texts
+        hand_back()
 
     return scan
 
