@@ -15,8 +15,11 @@ from tidemark.sources.checkpoints import shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter go, null and empty texts among them. Repeated rows stay."""
-    return language.keep_identified(docs)
+    """Documents whose language can be told, ``lang`` being what their text is identified as; the mix goes by it.
+
+    Those without a letter go, null and empty texts among them. Repeated rows stay. If nothing can be learned, ``lang`` stays.
+    """
+    return language.keep_identified(docs, relabel=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +36,11 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document; one without words is never taken, rows that are alike share their draws one to one."""
-    return mixing.mixed_documents(docs)
+    """A row for each time the mix takes a document; each identified language of a source is a pool with its source's weight.
+
+    A document without words is never taken, rows that are alike share their draws one to one.
+    """
+    return mixing.mixed_documents(docs, by_language=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -434,3 +434,32 @@ def test_stages_on_nulls_repeats_and_clashing_columns(spark, edge_docs, no_docs)
         before = n
     assert docs.where("offset + length > 4096").count() == 0
     assert docs.count() >= docs.select("sequence_id").distinct().count() > 0
+
+
+def test_pipeline_mixes_by_identified_language(spark):
+    """What the language stage finds decides the pools that the mix draws from, whatever the labels were."""
+    import corpus_pipeline
+
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    english, german = "the thing and that dog with this house", "der hund und das haus mit einem ding dort"
+    rows = [(ids[i], f"{english} {i}", "en", "a", 1) for i in range(60)] + [(ids[100 + i], f"{german} {i}", "de", "a", 1) for i in range(12)]
+    given = spark.createDataFrame([*rows, (5000, f"{german} alone", "en", "a", 1), (5001, f"{german} else", None, "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    found = stages["language"](spark, given, SF).checkpoint()
+    assert {r.doc_id: r.lang for r in found.collect()} == {r[0]: r[2] for r in rows} | {5000: "de", 5001: "de"}
+
+    def taken(docs):
+        return {r.doc_id: r["count"] for r in stages["mixing"](spark, docs, SF).groupBy("doc_id").count().collect()}
+
+    scarce = {r[0] for r in rows if r[2] == "de"} | {5000, 5001}
+    mixed = taken(found)
+    assert all(mixed[i] == 2 for i in scarce)  # a pool of its own, up to the most repeats
+    plain = mixing.mixed_documents(given).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in plain} != mixed != taken(given)
+    sizes = {}
+    for r in mixing.mix(found.withColumn("its", F.col("lang")), by_language=True, keep=("doc_id", "its")).collect():
+        sizes.setdefault(r.its, []).append((r.size, r.source_size, r.target, r.taken))
+    for pool in sizes.values():
+        assert {x[1] for x in pool} == {sum(x[0] for x in pool)}
+        assert abs(sum(x[3] for x in pool) - pool[0][2]) <= 1
+    assert sum(p[0][2] for p in sizes.values()) == pytest.approx(1.5 * sum(p[0][1] for p in sizes.values()))

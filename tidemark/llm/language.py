@@ -263,6 +263,8 @@ def _predictor(context, langs: list[str], prototypes: np.ndarray, last: bool):
             kept = [c for n, c in zip(names, batch.columns, strict=True) if n not in ("lang_pred", "best", "odds")]
             made = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=[*(n for n in names if n not in ("lang_pred", "best", "odds")), "lang_pred", "best", "odds"])
+        batch = kept = made = carried = columns = None
+        hand_back()
 
     return run
 
@@ -310,10 +312,11 @@ def identify(docs: DataFrame, keep: list[str], languages: int = LANGUAGES) -> Da
     return _predicted(docs.select(*keep), learn(docs.where(~held_out())), languages)
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.0, relabel: bool = False) -> DataFrame:
     """Documents with a letter and a score of ``min_score`` at least; a null lang is filled in.
 
-    If no language can be learned, all documents with a letter stay as they are.
+    With ``relabel``, every lang becomes the one identified from the text. If no
+    language can be learned, all documents with a letter stay as they are.
     """
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
     learned = learn(docs.where(~held_out()))
@@ -321,7 +324,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
         return rows.mapInArrow(_with_letters, _fields(rows))
     found = _predicted(rows, learned)  # only a text without a letter has score 0
     return found.where((F.col("score") > 0) & (F.col("score") >= min_score)).select(
-        "doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars"
+        "doc_id", "text", (F.col("lang_pred") if relabel else F.coalesce("lang", "lang_pred")).alias("lang"), "source", "n_chars"
     )
 
 

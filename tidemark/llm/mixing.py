@@ -27,6 +27,8 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORD, durable
+from .common import WORD, durable, hand_back
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CHUNK = 4096
@@ -44,11 +46,16 @@ STEP = (1 << 31) - 1  # a prime above any number of blocks
 def source_targets(
     sizes: DataFrame, weights=WEIGHTS, total_share: float = 1.5, most_repeats: float = 2.0
 ) -> DataFrame:
-    """source, place (from 0), source_size, target: one row for each source."""
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ordered = Window.orderBy(F.col("source").isNull(), "source")  # one row a source
-    placed = sources.withColumn("place", (F.row_number().over(ordered) - 1).cast("int"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    """source, place (from 0), source_size, target: one row for each source.
+
+    With a column ``lang`` in ``sizes``, it is returned too and each language of a source is a pool of its own, with its source's weight.
+    """
+    pool = [c for c in ("source", "lang") if c in sizes.columns]
+    sources = sizes.groupBy(*pool).agg(F.sum("size").alias("source_size"))
+    ordered = Window.orderBy(*[x for c in pool for x in (F.col(c).isNull(), F.col(c))])  # one row a pool
+    of_source = Window.orderBy(F.col("source").isNull(), "source")
+    placed = sources.withColumns({"place": (F.row_number().over(ordered) - 1).cast("int"), "turn": F.dense_rank().over(of_source) - 1})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights) + 1).cast("int"))
     rated = placed.withColumn("weight", weight).withColumn("most", most_repeats * F.col("source_size"))
     by_ratio = Window.orderBy(F.col("most") / F.col("weight"), "place")
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -63,7 +70,7 @@ def source_targets(
     first = F.min(F.when(F.col("fits"), F.struct(F.col("most") / F.col("weight"), "place", "level"))).over(whole)
     common = levels.withColumn("common", first["level"])
     return common.select(
-        "source", "place", "source_size",
+        *pool, "place", "source_size",
         F.least("most", F.coalesce(F.col("common") * F.col("weight"), "most")).alias("target"),
     )
 
@@ -124,9 +131,13 @@ def mix(
     seed: int = 5,
     keep: tuple[str, ...] = ("doc_id",),
     broadcast_sources: int = 100_000,
+    by_language: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` with columns ``keep``, size, source_size, target, taken and draws.
 
+    With ``by_language``, what is said of sources holds for each language (column ``lang``)
+    of a source: it weighs as its source does and has a size and a target of its own.
+
     ``draws`` has an entry for each time the row is drawn: its shard, its place
     there (shards sort by it) and the words taken (all, or the first ones of the
     row where a source's target ends).
@@ -134,19 +145,19 @@ def mix(
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # Rows of one id, or of none, are told apart by their texts: they don't share a block, and their order is the same in every run.
     salt = F.xxhash64("text").alias("salt")
-    sized = docs.select(*keep, F.col("source").cast("string").alias("source"), words.alias("size"), salt)
+    pool = ("source", "lang") if by_language else ("source",)
+    sized = docs.select(*keep, *[F.col(c).cast("string").alias(c) for c in pool], words.alias("size"), salt)
     sized = durable(sized)
     targets = durable(source_targets(sized, weights, total_share, most_repeats))
     n_sources = targets.count()
     few = n_sources <= broadcast_sources
     blocks_of = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
     plan = targets.select(
-        F.col("source").alias("from_source"), "place", "source_size", "target", blocks_of.alias("n_blocks"),
+        *[F.col(c).alias(f"from_{c}") for c in pool], "place", "source_size", "target", blocks_of.alias("n_blocks"),
         F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long").alias("passes"),
     ).withColumn("rest", (F.round("target") - F.col("passes") * F.col("source_size")).cast("long"))
-    rows = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("from_source"))).drop(
-        "from_source"
-    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"from_{c}")) for c in pool])
+    rows = sized.join(F.broadcast(plan) if few else plan, same).drop(*[f"from_{c}" for c in pool])
     h = F.xxhash64(F.col("doc_id"), F.col("salt"), F.lit(seed))
     rows = rows.withColumns({"h": h, "block": _permuted(F.pmod(h, F.col("n_blocks")), F.col("n_blocks"))})
 
@@ -248,19 +259,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[i] = len(texts[i])
             columns |= {"text": pa.array(texts, pa.string()), "n_chars": pa.array(counts, pa.int64())}
         yield pa.RecordBatch.from_pydict(columns)
+    batch = columns = texts = counts = None
+    hand_back()
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, by_language: bool = False, **options) -> DataFrame:
     """The mix itself: a row for each draw, in its shard's order, its text cut to the words taken.
 
-    Plan and texts meet by doc_id, text and source; rows that share all three are
-    alike, and their draws are dealt to them one to one.
+    Plan and texts meet by doc_id, text and source (and lang, if the mix is ``by_language``);
+    rows that share them are alike, and their draws are dealt to them one to one.
     """
     names = ("doc_id", "text", "lang", "source", "n_chars")
     marks = {"text_hash": F.xxhash64("text"), "its_source": F.col("source").cast("string")}
-    base = docs.select("doc_id", "text", "source").withColumns(marks)
     keys = ("doc_id", "text_hash", "its_source")
-    plan = durable(mix(base, keep=keys, **options).select(*keys, "size", "draws"))
+    if by_language:
+        marks["its_lang"] = F.col("lang").cast("string")
+        keys = (*keys, "its_lang")
+    base = docs.select("doc_id", "text", "lang", "source").withColumns(marks)
+    plan = durable(mix(base, keep=keys, by_language=by_language, **options).select(*keys, "size", "draws"))
     texts = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).withColumns(marks)
     first = F.lit(0)
     if not plan.groupBy(*keys).count().where("count > 1").isEmpty():
