@@ -25,26 +25,33 @@ def query(sql: str):
 def annotations(spark, d):
     """movie, doc: JSON texts with repeated ids, missing names, odd times and wrong counts."""
     li = table(spark, d, "lineitem")
-    n, p, q, s = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity"), F.col("l_suppkey")
-    entity = F.struct(
-        F.when(p % 11 != 0, F.concat(F.lit("e"), (p % 5).cast("string"))).alias("char_id"), F.when(p % 7 != 0, "Name").otherwise(" ").alias("name"),
-        F.when(p % 13 == 0, F.lit('"soon"')).otherwise(q.cast("int").cast("string")).alias("first"), (q.cast("int") + F.col("l_linenumber") - 3).alias("last_presence_seconds"),
-        F.array(F.struct((p % 60 - 1).alias("seconds"))).alias("state_changes"),
-    )
-    text = F.regexp_replace(F.regexp_replace(F.to_json(entity), r'"first":"(\d+)"', r'"first_presence_seconds":$1'), r'"first":"\\"soon\\""', '"first_presence_seconds":"soon"')
-    segment = F.to_json(F.struct(
-        F.concat(F.lit("s"), (s % 6).cast("string")).alias("segment_id"), (n * 5).cast("int").alias("start_seconds"), (n * 5 + s % 4 - 1).cast("int").alias("end_seconds"),
-        F.when(s % 3 == 0, 2).otherwise(s % 4 - 1).cast("int").alias("duration_seconds"),
-        F.array(F.concat(F.lit("e"), (p % 5).cast("string")), F.concat(F.lit("e"), (s % 5).cast("string"))).alias("present_entity_ids"),
-    ))
-    by = lambda c: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", c.alias("t")))), lambda x: x["t"]))
-    g = li.groupBy(F.col("l_orderkey").alias("movie")).agg(by(text).alias("e"), by(segment).alias("s"), F.count(F.lit(1)).alias("n"))
+    # Lines meet as numbers and are written out by order, all entities or segments at once; a null field is left out of the text.
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("q"))
+    g = li.groupBy(F.col("l_orderkey").alias("movie")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+    def entity(x):
+        p, q = x["l_partkey"], x["q"]
+        return F.struct(
+            F.when(p % 11 != 0, F.concat(F.lit("e"), (p % 5).cast("string"))).alias("char_id"), F.when(p % 7 != 0, "Name").otherwise(" ").alias("name"),
+            F.when(p % 13 == 0, "soon").alias("first_presence_seconds"), F.when(p % 13 != 0, q).alias("first_presence_seconds"),
+            (q + x["l_linenumber"] - 3).alias("last_presence_seconds"), F.array(F.struct((p % 60 - 1).alias("seconds"))).alias("state_changes"),
+        )
+
+    def segment(x):
+        n, p, s = x["l_linenumber"], x["l_partkey"], x["l_suppkey"]
+        return F.struct(
+            F.concat(F.lit("s"), (s % 6).cast("string")).alias("segment_id"), (n * 5).cast("int").alias("start_seconds"), (n * 5 + s % 4 - 1).cast("int").alias("end_seconds"),
+            F.when(s % 3 == 0, 2).otherwise(s % 4 - 1).cast("int").alias("duration_seconds"),
+            F.array(F.concat(F.lit("e"), (p % 5).cast("string")), F.concat(F.lit("e"), (s % 5).cast("string"))).alias("present_entity_ids"),
+        )
+
+    g = g.select("movie", F.to_json(F.transform("lines", entity)).alias("e"), F.to_json(F.transform("lines", segment)).alias("s"), F.size("lines").alias("n"))
     head = F.when(F.col("movie") % 10 == 0, "").otherwise(F.format_string('"counts":{"characters":%d,"props":0,"locations":%d,"scenes":1},', "n", F.col("movie") % 2))
     low = F.format_string('"self_check":{"low_confidence_segment_ids":["s%d"]}', F.col("movie") % 8)
     props = F.when(F.col("movie") % 9 == 0, "").otherwise('"props":[],')
     body = F.concat(
-        F.lit('{"video_duration_seconds":40,'), head, props, F.lit('"characters":['), F.col("e"), F.lit('],"locations":[],"screenplay":{"scenes":[{"scene_id":"a","visual_segments":['),
-        F.col("s"), F.lit("]}]},"), low, F.lit("}"),
+        F.lit('{"video_duration_seconds":40,'), head, props, F.lit('"characters":'), F.col("e"), F.lit(',"locations":[],"screenplay":{"scenes":[{"scene_id":"a","visual_segments":'),
+        F.col("s"), F.lit("}]},"), low, F.lit("}"),
     )
     return P.parsed(g.select("movie", F.when(F.col("movie") % 31 == 0, "[1]").otherwise(body).alias("text")))
 
