@@ -215,22 +215,21 @@ def counts(annotations: DataFrame) -> DataFrame:
 
 def structure_findings(annotations: DataFrame) -> DataFrame:
     """Root, collections, screenplay and declared counts; counts that are off are warnings, as the normal form mends them."""
-    doc = F.col("doc")
-    root = kind_of(doc) == "object"
-    play = field(doc, "screenplay")
-    declared = field(doc, "counts")
+    doc, root = F.col("doc"), F.col("_root")
+    rows = counts(annotations.select("movie", "doc")).withColumns({"_root": is_object(doc), "_play": field(doc, "screenplay"), "_declared": field(doc, "counts")})
+    rows = rows.withColumns({"_played": is_object(F.col("_play")), "_counted": is_object(F.col("_declared")), **{f"_{c}": field(F.col("_declared"), c) for c in COUNTED}})
+    arrays = {c: F.try_variant_get(field(doc, c), "$", "array<variant>").isNotNull() for c, _ in COLLECTIONS}
     rules = [rule(~root, "INVALID_ROOT", F.lit("$"))]
-    rules += [rule(root & (kind_of(field(doc, c)) != "array"), "INVALID_COLLECTION", F.lit(f"$.{c}")) for c, _ in COLLECTIONS]
+    rules += [rule(root & ~arrays[c], "INVALID_COLLECTION", F.lit(f"$.{c}")) for c, _ in COLLECTIONS]
     rules += [
-        rule(root & (kind_of(play) != "object"), "INVALID_SCREENPLAY", F.lit("$.screenplay")),
-        rule(root & (kind_of(play) == "object") & ~kind_of(field(play, "scenes")).isin("array", "null"), "INVALID_SCENES", F.lit("$.screenplay.scenes")),
-        rule(root & (kind_of(declared) != "object"), "MISSING_COUNTS", F.lit("$.counts"), "warning"),
+        rule(root & ~F.col("_played"), "INVALID_SCREENPLAY", F.lit("$.screenplay")),
+        rule(root & F.col("_played") & ~listable(field(F.col("_play"), "scenes")), "INVALID_SCENES", F.lit("$.screenplay.scenes")),
+        rule(root & ~F.col("_counted"), "MISSING_COUNTS", F.lit("$.counts"), "warning"),
     ]
     for c in COUNTED:
-        value = field(declared, c)
-        same = F.coalesce(number(value) == F.col(c), F.lit(False))
-        rules.append(rule(root & (kind_of(value) != "null") & ~same, "COUNT_MISMATCH", F.lit(f"$.counts.{c}"), "warning"))
-    return findings(counts(annotations), *rules)
+        same = F.coalesce(number(F.col(f"_{c}")) == F.col(c), F.lit(False))
+        rules.append(rule(root & (kind_of(F.col(f"_{c}")) != "null") & ~same, "COUNT_MISMATCH", F.lit(f"$.counts.{c}"), "warning"))
+    return findings(rows, *rules)
 
 
 def normalized(annotations: DataFrame) -> DataFrame:
