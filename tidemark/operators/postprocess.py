@@ -85,38 +85,43 @@ def entities(annotations: DataFrame) -> DataFrame:
 
 
 def entity_findings(annotations: DataFrame) -> DataFrame:
-    """Ids, names, presence and state changes of the entities."""
+    """Ids, names, presence and state changes of the entities; each is judged where it lies, only ids meet."""
     path, e = F.col("path"), F.col("entity")
-    named = F.element_at(F.array(*[F.lit(k) for _, k in COLLECTIONS]), F.col("part") + 1)
+    named = F.concat(path, F.lit("."), F.element_at(F.array(*[F.lit(k) for _, k in COLLECTIONS]), F.col("part") + 1))
     at = lambda name: F.concat(path, F.lit(f".{name}"))
-    rows = entities(annotations.select("movie", "doc")).withColumns({"f": field(e, "first_presence_seconds"), "l": field(e, "last_presence_seconds"), "changes": field(e, "state_changes")})
-    rows = rows.withColumns({"first": number(F.col("f")), "last": number(F.col("l")), "sound": F.col("id").isNotNull()})
-    odd = lambda c: ~kind_of(F.col(c)).isin("number", "null")
-    timed = F.col("sound") & ~odd("f") & ~odd("l")
-    outside = lambda c: (F.col(c) < 0) | (F.col(c) > F.col("duration"))
-    each = rows.where("sound").select("movie", "path", "duration", F.posexplode(items(F.col("changes"))).alias("k", "change"))
-    each = each.withColumns({"path": F.format_string("%s.state_changes[%d]", "path", "k"), "seconds": field(F.col("change"), "seconds")})
-    each = each.withColumn("at_s", number(F.col("seconds")))
-    own = findings(
-        rows,
-        rule(kind_of(e) != "object", "INVALID_ENTITY", path),
-        rule((kind_of(e) == "object") & ~F.col("sound"), "MISSING_ENTITY_ID", F.concat(path, F.lit("."), named)),
-        rule(F.col("n") > 1, "DUPLICATE_ENTITY_ID", F.concat(path, F.lit("."), named)),
-        rule(F.col("sound") & (F.coalesce(F.trim(string(field(e, "name"))), F.lit("")) == ""), "EMPTY_ENTITY_NAME", at("name")),
-        rule(F.col("sound") & odd("f"), "INVALID_PRESENCE_TIME", at("first_presence_seconds"), "warning"),
-        rule(F.col("sound") & ~odd("f") & odd("l"), "INVALID_PRESENCE_TIME", at("last_presence_seconds"), "warning"),
+    rows = entities(annotations.select("movie", "doc")).withColumns({
+        "kind": kind_of(e), "name": field(e, "name"), "f": field(e, "first_presence_seconds"), "l": field(e, "last_presence_seconds"), "changes": field(e, "state_changes"),
+        "sound": F.col("id").isNotNull(),
+    })
+    rows = rows.withColumns({"first": number(F.col("f")), "last": number(F.col("l")), "odd_f": ~kind_of(F.col("f")).isin("number", "null"), "odd_l": ~kind_of(F.col("l")).isin("number", "null")})
+    sound, timed = F.col("sound"), F.col("sound") & ~F.col("odd_f") & ~F.col("odd_l")
+    outside = lambda c: (c < 0) | (c > F.col("duration"))
+
+    def changed(c: Column, k: Column) -> Column:
+        off, seconds = F.concat(path, F.lit(".state_changes["), k.cast("string"), F.lit("]")), field(c, "seconds")
+        off_s = F.concat(off, F.lit(".seconds"))
+        kind = kind_of(seconds)
+        return F.array(
+            rule(~is_object(c), "INVALID_STATE_EVENT", off, "warning"),
+            rule(is_object(c) & ~kind.isin("number", "null"), "INVALID_STATE_EVENT_TIME", off_s, "warning"),
+            rule(outside(number(seconds)), "INVALID_STATE_EVENT_TIME", off_s, "warning"),
+        )
+
+    own = F.array(
+        rule(F.col("kind") != "object", "INVALID_ENTITY", path),
+        rule((F.col("kind") == "object") & ~sound, "MISSING_ENTITY_ID", named),
+        rule(F.col("n") > 1, "DUPLICATE_ENTITY_ID", named),
+        rule(sound & (F.coalesce(F.trim(string(F.col("name"))), F.lit("")) == ""), "EMPTY_ENTITY_NAME", at("name")),
+        rule(sound & F.col("odd_f"), "INVALID_PRESENCE_TIME", at("first_presence_seconds"), "warning"),
+        rule(sound & ~F.col("odd_f") & F.col("odd_l"), "INVALID_PRESENCE_TIME", at("last_presence_seconds"), "warning"),
         rule(timed & (F.col("first") > F.col("last")), "PRESENCE_TIME_OUT_OF_RANGE", path, "warning"),
-        rule(timed & outside("first"), "PRESENCE_TIME_OUT_OF_RANGE", at("first_presence_seconds"), "warning"),
-        rule(timed & outside("last"), "PRESENCE_TIME_OUT_OF_RANGE", at("last_presence_seconds"), "warning"),
-        rule(F.col("sound") & ~kind_of(F.col("changes")).isin("array", "null"), "INVALID_STATE_CHANGES", at("state_changes"), "warning"),
+        rule(timed & outside(F.col("first")), "PRESENCE_TIME_OUT_OF_RANGE", at("first_presence_seconds"), "warning"),
+        rule(timed & outside(F.col("last")), "PRESENCE_TIME_OUT_OF_RANGE", at("last_presence_seconds"), "warning"),
+        rule(sound & ~listable(F.col("changes")), "INVALID_STATE_CHANGES", at("state_changes"), "warning"),
     )
-    changed = findings(
-        each,
-        rule(kind_of(F.col("change")) != "object", "INVALID_STATE_EVENT", path, "warning"),
-        rule((kind_of(F.col("change")) == "object") & odd("seconds"), "INVALID_STATE_EVENT_TIME", at("seconds"), "warning"),
-        rule(outside("at_s"), "INVALID_STATE_EVENT_TIME", at("seconds"), "warning"),
-    )
-    return own.unionByName(changed)
+    of_changes = F.when(sound, F.flatten(F.transform(items(F.col("changes")), changed)))
+    none = F.array().cast("array<struct<code:string,path:string,severity:string>>")
+    return rows.select("movie", F.explode(F.array_compact(F.concat(own, F.coalesce(of_changes, none)))).alias("x")).select("movie", "x.code", "x.path", "x.severity")
 
 
 def segments(annotations: DataFrame) -> DataFrame:
