@@ -125,14 +125,15 @@ def entity_findings(annotations: DataFrame) -> DataFrame:
 
 
 def segments(annotations: DataFrame) -> DataFrame:
-    """movie, scene (its place), scene_id, at, path, segment, id, start, end_, duration of every segment, and what its scene is."""
+    """movie, scene (its place), scene_id, loc_id (of the scene), at, path, segment, id, start, end_, duration of every segment."""
     screenplay = field(F.col("doc"), "screenplay")
     scenes = annotations.select("movie", F.posexplode(items(field(screenplay, "scenes"))).alias("scene", "s"))
     scene_id = F.coalesce(string(field(F.col("s"), "scene_id")), F.format_string("scene_%d", "scene"))
-    rows = scenes.select("movie", "scene", scene_id.alias("scene_id"), F.posexplode(items(field(F.col("s"), "visual_segments"))).alias("at", "segment"))
+    loc_id = F.trim(F.coalesce(string(field(F.col("s"), "loc_id")), F.lit("")))
+    rows = scenes.select("movie", "scene", scene_id.alias("scene_id"), loc_id.alias("loc_id"), F.posexplode(items(field(F.col("s"), "visual_segments"))).alias("at", "segment"))
     seg = F.col("segment")
     return rows.select(
-        "movie", "scene", "scene_id", "at", F.format_string("$.screenplay.scenes[%d].visual_segments[%d]", "scene", "at").alias("path"), "segment",
+        "movie", "scene", "scene_id", "loc_id", "at", F.format_string("$.screenplay.scenes[%d].visual_segments[%d]", "scene", "at").alias("path"), "segment",
         F.coalesce(string(field(seg, "segment_id")), F.lit("")).alias("id"), number(field(seg, "start_seconds")).alias("start"),
         number(field(seg, "end_seconds")).alias("end_"), number(field(seg, "duration_seconds")).alias("duration"),
     )
