@@ -33,12 +33,15 @@ def package_faults(movies: DataFrame, files: DataFrame, findings: DataFrame | No
     ``quality`` (no schema version, versions that differ within a movie, no layout hash,
     an error among the lint ``findings``) and ``unfrozen`` (not reviewed by a human).
     """
-    need = movies.select("movie").distinct().select("movie", F.explode(F.array(*map(F.lit, REQUIRED))).alias("file"))
-    have = files.where(F.col("file").isin(*REQUIRED)).groupBy("movie", "file").agg(
-        F.max("schema_version").alias("high"), F.min("schema_version").alias("low"), F.max("layout_hash").alias("layout"), F.bool_and(F.coalesce("human_reviewed", F.lit(False))).alias("reviewed"),
-        F.lit(True).alias("there"),
-    )
-    rows = need.join(have, ["movie", "file"], "left")
+    # What is asked for and what is there are counted together: no side is small enough to be sent to every task.
+    asked = movies.select("movie").distinct().select("movie", F.explode(F.array(*map(F.lit, REQUIRED))).alias("file"), F.lit(True).alias("asked"))
+    given = files.where(F.col("movie").isNotNull() & F.col("file").isin(*REQUIRED)).select(
+        "movie", "file", "schema_version", "layout_hash", F.coalesce("human_reviewed", F.lit(False)).alias("human_reviewed"), F.lit(False).alias("asked")
+    )
+    rows = given.unionByName(asked, allowMissingColumns=True).groupBy("movie", "file").agg(
+        F.max("schema_version").alias("high"), F.min("schema_version").alias("low"), F.max("layout_hash").alias("layout"), F.bool_and("human_reviewed").alias("reviewed"),
+        F.bool_or(~F.col("asked")).alias("there"), F.bool_or("asked").alias("asked"),
+    ).where("asked")
     there, file = F.coalesce("there", F.lit(False)), F.col("file")
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     fault = lambda when, code, level: F.when(when, F.struct(F.lit(code).alias("code"), file.alias("detail"), F.lit(level).alias("level")))
@@ -51,11 +54,12 @@ def package_faults(movies: DataFrame, files: DataFrame, findings: DataFrame | No
         )
     )
     found = rows.select("movie", F.explode(own).alias("f")).select("movie", "f.*")
-    versions = have.where(file.isin(*VERSIONED) & ~blank("high")).join(movies.select("movie").distinct(), "movie").groupBy("movie").agg(F.min(F.nullif("low", F.lit(""))).alias("low"), F.max("high").alias("high"))
+    versions = rows.where(file.isin(*VERSIONED) & ~blank("high")).groupBy("movie").agg(F.min(F.nullif("low", F.lit(""))).alias("low"), F.max("high").alias("high"))
     differ = versions.where("low <> high").select("movie", F.lit("schema_version_mismatch").alias("code"), F.concat_ws(" / ", "low", "high").alias("detail"), F.lit("quality").alias("level"))
     found = found.unionByName(differ)
     if findings is not None:
-        errors = findings.where("severity = 'error'").groupBy("movie", "code").count().join(movies.select("movie").distinct(), "movie")
+        known = movies.select("movie").distinct().hint("merge")
+        errors = findings.where("severity = 'error'").groupBy("movie", "code").count().join(known, "movie", "left_semi")
         found = found.unionByName(errors.select("movie", F.concat(F.lit("lint:"), "code").alias("code"), F.col("count").cast("string").alias("detail"), F.lit("quality").alias("level")))
     return found
 
@@ -64,7 +68,7 @@ def package_verdicts(movies: DataFrame, faults: DataFrame, force: bool = False)
     """movie, n_missing, n_quality, n_unfrozen, outcome: published, unfrozen, quality or missing, the gravest first; ``force`` lets unfrozen movies pass."""
     count = lambda level: F.coalesce(F.count_if(F.col("level") == level), F.lit(0))
     counts = faults.groupBy("movie").agg(count("missing").alias("n_missing"), count("quality").alias("n_quality"), count("unfrozen").alias("n_unfrozen"))
-    rows = movies.select("movie").distinct().join(counts, "movie", "left").fillna(0, ["n_missing", "n_quality", "n_unfrozen"])
+    rows = movies.select("movie").distinct().join(counts.hint("merge"), "movie", "left").fillna(0, ["n_missing", "n_quality", "n_unfrozen"])
     outcome = F.when(F.col("n_missing") > 0, "missing").when(F.col("n_quality") > 0, "quality").when((F.col("n_unfrozen") > 0) & F.lit(not force), "unfrozen").otherwise("published")
     return rows.withColumn("outcome", outcome)
 
