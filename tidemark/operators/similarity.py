@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,27 +77,103 @@ def closed_set(scores: DataFrame, floor: float, margin: float) -> DataFrame:
     return two.withColumn("outcome", outcome)
 
 
+def _blocked(items: DataFrame, keys: list[str], item: str, vec: str, judge, shape: str, cosines: bool, deal: str | None, block: int) -> DataFrame:
+    """keys and what ``judge(a, b, sim, same)`` finds (columns of ``shape``) in stretches of the pairs of each key's items.
+
+    A key's items are dealt to blocks (by a hash of ``deal``), and two blocks are a task, which compares them as matrices, a
+    few hundred rows at a time. ``sim`` has the rounded similarities of items ``a`` and ``b``; in a block that meets itself (``same``) each pair comes twice.
+    """
+    rows = items.where(F.col(vec).isNotNull()).select(*keys, F.col(item).alias("_i"), F.col(vec).alias("_v"), F.xxhash64(deal or item).alias("_d"))
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
+    rows = rows.join(counts, keys).withColumn("_x", F.pmod("_d", F.col("_nb")).cast("int"))
+    cells = rows.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).withColumns({"_a": F.least("_x", "_y"), "_b": F.greatest("_x", "_y")})
+    names = [part.split()[0] for part in shape.split(", ")]
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        left, right = (cell[cell["_x"] == cell[c].iloc[0]] for c in ("_a", "_b"))
+        out = []
+        if len(left) and len(right):
+            (a, x), (b, y) = ((side["_i"].to_numpy(), np.stack([np.asarray(v, dtype=np.float64) for v in side["_v"]])) for side in (left, right))
+            lengths = [np.sqrt((z * z).sum(axis=1)) for z in (x, y)]
+            for at in range(0, len(a), 512):
+                some = slice(at, at + 512)
+                sim = x[some] @ y.T
+                if cosines:
+                    size = lengths[0][some, None] * lengths[1][None, :]
+                    sim = np.where(size == 0, 0.0, sim / np.where(size == 0, 1.0, size))
+                out.append(pd.DataFrame(dict(zip(names, judge(a[some], b, np.round(sim, 6) + 0.0, cell["_a"].iloc[0] == cell["_b"].iloc[0]), strict=True))))
+        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame({n: [] for n in names})
+        for k in keys:
+            found[k] = cell[k].iloc[0] if len(found) else cell[k].iloc[:0]
+        return found[[*keys, *names]]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema)
+    return cells.groupBy(*keys, "_a", "_b").applyInPandas(compare, f"{schema}, {shape}")
+
+
 def pairs_within(items: DataFrame, keys: list[str], item: str, vec: str, threshold: float, block: int = 4096) -> DataFrame:
     """Unordered pairs of equal ``keys`` with cosine of ``threshold`` or more.
 
-    A key's items are dealt to blocks, and blocks meet in pairs, so that no task
-    holds more than two blocks of a hot key. The work is quadratic in a key's
-    items by the operator's meaning: use it on rosters and prototypes.
+    The work is quadratic in a key's items by the operator's meaning: use it on rosters and prototypes.
     """
-    counts = items.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
-    rows = items.join(counts, keys).withColumn("_blk", F.pmod(F.xxhash64(item), F.col("_nb")).cast("int"))
-    left = rows.select(*keys, F.col(item).alias("left"), F.col(vec).alias("l_vec"), F.col("_blk").alias("_lb"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_rb"))
-    right = rows.select(*keys, F.col(item).alias("right"), F.col(vec).alias("r_vec"), F.col("_blk").alias("_rb"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_lb"))
-    pairs = left.join(right, [*keys, "_lb", "_rb"]).where(F.col("left") < F.col("right"))
-    return pairs.withColumn("sim", F.round(cosine(F.col("l_vec"), F.col("r_vec")), 6)).where(F.col("sim") >= threshold).select(
-        *keys, "left", "right", "sim"
-    )
+    kind = items.schema[item].dataType.simpleString()
+
+    def judge(a, b, sim, same):
+        near = ~(sim < threshold)
+        near &= np.less.outer(a, b) if same else np.not_equal.outer(a, b)
+        i, j = np.nonzero(near)
+        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), sim[i, j]
+
+    return _blocked(items, keys, item, vec, judge, f"left {kind}, right {kind}, sim double", True, None, block)
+
+
+def nearest_earlier(items: DataFrame, keys: list[str], item: str, vec: str, block: int = 4096) -> DataFrame:
+    """item, sim: the best cosine of each item with those before it of equal ``keys``; items without any are left out.
+
+    No pair leaves its task; a block sends one row an item.
+    """
+    kind = items.schema[item].dataType.simpleString()
+
+    def judge(a, b, sim, same):
+        found = []
+        for ours, before, s in ((b, np.less.outer(a, b), sim.T),) if same else ((b, np.less.outer(a, b), sim.T), (a, np.greater.outer(a, b).T, sim)):
+            before = before.T
+            some = before.any(axis=1)
+            found.append((ours[some], np.where(before, s, -np.inf)[some].max(axis=1)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    rows = _blocked(items, keys, item, vec, judge, f"_item {kind}, sim double", True, None, block)
+    return rows.groupBy(F.col("_item").alias(item)).agg(F.max("sim").alias("sim"))
+
+
+def best_between(items: DataFrame, keys: list[str], side: str, vec: str, deal: str, block: int = 4096) -> DataFrame:
+    """keys, side_a, side_b, best, n: the best inner product of the items of every two sides (side_a < side_b), and their number of pairs.
+
+    ``deal`` is the column by which items are dealt to blocks.
+    """
+    kind = items.schema[side].dataType.simpleString()
+
+    def judge(a, b, sim, same):
+        found = []
+        for p in np.unique(a):
+            for q in np.unique(b):
+                if p < q or (p > q and not same):
+                    cut = sim[np.ix_(a == p, b == q)]
+                    found.append((min(p, q), max(p, q), cut.max(), cut.size))
+        return tuple(zip(*found, strict=True)) or ((), (), (), ())
+
+    rows = _blocked(items, keys, side, vec, judge, f"side_a {kind}, side_b {kind}, sim double, pairs long", False, deal, block)
+    return rows.groupBy(*keys, "side_a", "side_b").agg(F.max("sim").alias("best"), F.sum("pairs").alias("n"))
 
 
 def dispersion(items: DataFrame, keys: list[str], item: str, vec: str) -> DataFrame:
-    """Least cosine over the pairs of each key; null for a single item."""
-    pairs = pairs_within(items, keys, item, vec, -2.0)
-    least = pairs.groupBy(*keys).agg(F.min("sim").alias("dispersion"))
+    """Least cosine over the pairs of each key; null for a single item. A task sends the least of every few hundred rows."""
+
+    def judge(a, b, sim, same):
+        pick = np.less.outer(a, b) if same else np.not_equal.outer(a, b)
+        return ([np.fmin.reduce(sim[pick])] if pick.any() else [],)
+
+    least = _blocked(items, keys, item, vec, judge, "sim double", True, None, 4096).groupBy(*keys).agg(F.min("sim").alias("dispersion"))
     return items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(least, keys, "left")
 
 
