@@ -231,7 +231,7 @@ s AS (SELECT vec_id, max(sim) AS sim FROM p GROUP BY 1) SELECT e.vec_id, coalesc
 def prompt_completeness(spark, d):
     """Items without a similar enough earlier one of their label are flagged."""
     e = table(spark, d, "embeddings")
-    pairs = V.pairs_within(e, ["label"], "vec_id", "embedding", -2.0).groupBy(F.col("right").alias("vec_id")).agg(F.max("sim").alias("sim"))
+    pairs = V.nearest_earlier(e, ["label"], "vec_id", "embedding")
     out = e.select("vec_id").join(pairs, "vec_id", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
     return out.select("vec_id", "sim", (F.col("sim") < 0.25).alias("flagged"))
 
