@@ -123,12 +123,9 @@ def payload_caps(spark, d):
 @query("""WITH p AS (SELECT a.label, a.vec_id % 4 AS side_a, b.vec_id % 4 AS side_b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 4 < b.vec_id % 4) SELECT label, side_a, side_b, max(sim) AS best, count(*) AS n FROM p GROUP BY ALL""")
 def unit_similarity(spark, d):
-    """Best similarity of the frames of two sides of a unit; a side's frames are few."""
-    e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 4).alias("side"), "embedding")
-    b = e.select("label", F.col("side").alias("side_b"), F.col("embedding").alias("vec_b"))
-    pairs = e.withColumnRenamed("side", "side_a").join(b, "label").where("side_a < side_b")
-    sim = F.round(VEC.dot(F.col("embedding"), F.col("vec_b")), 6)
-    return pairs.groupBy("label", "side_a", "side_b").agg(F.max(sim).alias("best"), F.count(F.lit(1)).alias("n"))
+    """Best similarity of the frames of two sides of a unit."""
+    e = table(spark, d, "embeddings").withColumn("side", F.col("vec_id") % 4)
+    return V.best_between(e, ["label"], "side", "embedding", "vec_id")
 
 
 @query("""SELECT l_orderkey AS segment, count(*) AS n_pairs, round(avg(abs(a.l_discount - b.l_discount)), 6) AS mean_similarity FROM lineitem a JOIN
